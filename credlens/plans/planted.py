@@ -93,10 +93,54 @@ concat(
 """
 
 
+# Files with noise names, binary bytes and odd sizes, for the file filters.
+FILE_PATH = """
+concat('repo/',
+  case doc_id % 9 when 0 then 'node_modules/' when 1 then 'app/build/' when 2 then 'environment/'
+                  when 3 then '.git/' else 'src/' end,
+  'd', {ID},
+  case doc_id % 11 when 0 then '.png' when 1 then '.tar.GZ' when 2 then '.env'
+                   when 3 then '' when 4 then '.min.js' else '.py' end)
+"""
+FILE_TEXT = "case when doc_id % 13 = 0 then concat('#', text) else text end"
+FILE_MAX_BYTES = 4096
+
+# The same file in many copies: fifty paths, each holding its own key over and over.
+COPY_CONTENT = f"concat(text, {{NL}}, 'K = ', {{Q}}, {aws_key('{H50}')}, {{Q}}, {{NL}})"
+
+# Outcomes of checking the planted verifiable values.
+VALUE_TO_CHECK = """
+case doc_id % 16
+  when 1 then concat('gh', 'p_', substr({H}, 1, 36))
+  when 8 then concat('gl', 'pat-', substr({H}, 1, 20))
+  else concat('sk-', 'ant-api03-', {H}, substr({H}, 1, 24))
+end
+"""
+HTTP_STATUS = """
+cast(case doc_id % 7 when 0 then 200 when 1 then 204 when 2 then 401 when 3 then 403
+                     when 4 then 429 when 5 then 500 else null end as int)
+"""
+
+
 def planted_columns(engine: str) -> dict[str, str]:
     return {"doc_id": "doc_id", "path": _dialect(PATH, engine), "content": _dialect(CONTENT, engine)}
 
 
+def copy_columns(engine: str) -> dict[str, str]:
+    return {"doc_id": "doc_id", "path": _FILE, "content": _dialect(COPY_CONTENT, engine)}
+
+
+def file_columns(engine: str) -> dict[str, str]:
+    """``content`` is binary; every thirteenth file has a NUL byte in front."""
+    to_bytes = f"encode({FILE_TEXT}, 'UTF-8')" if engine == "spark" else f"encode({FILE_TEXT})"
+    nul = "X'00'" if engine == "spark" else "'\\x00'::blob"
+    return {
+        "path": _dialect(FILE_PATH, engine),
+        "length": f"cast(octet_length({to_bytes}) as bigint)",
+        "content": f"case when doc_id % 13 = 0 then {nul} || {to_bytes} else {to_bytes} end",
+    }
+
+
 def patch_columns(engine: str) -> dict[str, str]:
     return {
         "repo": "concat('repo', cast(doc_id % 4 as varchar(20)))",
@@ -111,6 +155,31 @@ def patch_columns(engine: str) -> dict[str, str]:
     }
 
 
+def accepted_columns(engine: str) -> dict[str, str]:
+    """A baseline: the AWS finding each document would have; a reason on even ids."""
+    digest = "sha2({0}, 256)" if engine == "spark" else "sha256({0})"
+    key = _dialect(_AWS, engine)
+    text = f"concat('aws_access_key_id', ':', {key}, ':', {_dialect(PATH, engine)})"
+    return {
+        "fingerprint": f"substr({digest.format(text)}, 1, 16)",
+        "rule_id": "'aws_access_key_id'",
+        "path": _dialect(PATH, engine),
+        "reason": "case when doc_id % 2 = 0 then concat('seen in ', source) end",
+    }
+
+
+ACCEPTED_WHERE = "doc_id % 3 = 0"
+OUTCOME_WHERE = "doc_id % 16 in (1, 8, 13)"
+
+
+def outcome_columns(engine: str) -> dict[str, str]:
+    value = _dialect(VALUE_TO_CHECK, engine)
+    return {
+        "secret_sha256": f"sha2({value}, 256)" if engine == "spark" else f"sha256({value})",
+        "http_status": HTTP_STATUS,
+    }
+
+
 def select_list(columns: dict[str, str]) -> str:
     return ",\n".join(f"{sql} AS {name}" for name, sql in columns.items())
 
@@ -123,11 +192,31 @@ def _derived(columns: dict[str, str]) -> list[Column]:
     return [F.expr(sql).alias(name) for name, sql in columns.items()]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return spread(documents, "doc_id").select(*_derived(planted_columns("spark")))
+    return _documents(spark, sf_dir).select(*_derived(planted_columns("spark")))
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(*_derived(copy_columns("spark")))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(*_derived(file_columns("spark")))
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(documents, "doc_id").select(*_derived(patch_columns("spark")))
+    return _documents(spark, sf_dir).select(*_derived(patch_columns("spark")))
+
+
+def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").where(ACCEPTED_WHERE)
+    return documents.select(*_derived(accepted_columns("spark")))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").where(OUTCOME_WHERE)
+    return documents.select(*_derived(outcome_columns("spark")))
