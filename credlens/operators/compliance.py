@@ -51,14 +51,13 @@ def rule_class(rule_id: str = "rule_id") -> str:
 
 
 def controls_table(spark: SparkSession) -> DataFrame:
-    rows = [(c, FRAMEWORKS.index(f), f, i, TITLES[i]) for c, f, i in CONTROLS]
-    return spark.createDataFrame(
-        rows, "rule_class string, framework_rank int, framework string, control_id string, title string")
+    rows = ", ".join(f"({lit(c)}, {lit(f)}, {lit(i)}, {lit(TITLES[i])})" for c, f, i in CONTROLS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_class, framework, control_id, title)")
 
 
 def with_controls(findings: DataFrame) -> DataFrame:
     """Findings x their controls; the control table has sixteen rows."""
-    controls = F.broadcast(controls_table(findings.sparkSession).drop("framework_rank"))
+    controls = F.broadcast(controls_table(findings.sparkSession))
     return findings.withColumn("rule_class", F.expr(rule_class())).join(controls, "rule_class")
 
 
@@ -74,8 +73,10 @@ def compliance_rollup(findings: DataFrame) -> DataFrame:
     controls = controls_table(spark)
     counted = (per_class.join(F.broadcast(controls), "rule_class")
                .groupBy("framework", "control_id", "title").agg(F.sum("n").alias("n")))
-    frameworks = spark.createDataFrame([(f,) for f in FRAMEWORKS], "framework string")
-    return (frameworks.join(counted, "framework", "left")
+    rows = ", ".join(f"({lit(f)})" for f in FRAMEWORKS)
+    frameworks = spark.sql(f"SELECT * FROM VALUES {rows} AS t(framework)")
+    # At most one row per control, so this side is bounded by the control table.
+    return (frameworks.join(F.broadcast(counted), "framework", "left")
             .select("framework", "control_id", "title", F.coalesce("n", F.lit(0)).alias("n")))
 
 

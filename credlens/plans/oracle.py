@@ -248,8 +248,8 @@ def oracle_sql() -> dict[str, str]:
     pack = default_rule_pack()
     with_paths = RulePack(pack.rules, Allowlist(pack.allowlist.value_patterns, PATH_ALLOWLIST))
     frameworks = ", ".join(f"({q(f)})" for f in compliance.FRAMEWORKS)
-    pages = "SELECT page_id, url AS path, html AS content FROM pages"
-    turns = "SELECT concat('conversation/', conv_id, '/', turn) AS path, text AS content FROM conversations"
+    pages = table(src.planted_page_columns("duckdb"), f"({table(src.PAGE_AS_DOCUMENT, 'pages')})")
+    turns = table(src.planted_turn_columns("duckdb"), f"({table(src.TURN_AS_DOCUMENT, 'conversations')})")
     entries = ("SELECT fingerprint, min(rule_id) AS rule_id, min(path) AS path, 'triaged' AS reason "
                "FROM findings GROUP BY fingerprint")
     html_escape = "{0}"

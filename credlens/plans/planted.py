@@ -126,6 +126,24 @@ def planted_columns(engine: str) -> dict[str, str]:
     return {"doc_id": "doc_id", "path": _dialect(PATH, engine), "content": _dialect(CONTENT, engine)}
 
 
+# Pages and conversation turns in the shape of a document, planted in the same way.
+PAGE_AS_DOCUMENT = {"doc_id": "page_id", "url": "url", "text": "html"}
+TURN_AS_DOCUMENT = {
+    "doc_id": "conv_id * 1000 + turn",
+    "url": "concat('chat/', cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))",
+    "text": "text",
+}
+
+
+def planted_page_columns(engine: str) -> dict[str, str]:
+    html = "concat(text, {NL}, '<pre>', {NL}, " + PLANT + ", {NL}, '</pre>')"
+    return {"page_id": "doc_id", "path": "url", "content": _dialect(html, engine)}
+
+
+def planted_turn_columns(engine: str) -> dict[str, str]:
+    return {"path": "url", "content": _dialect(CONTENT, engine)}
+
+
 def copy_columns(engine: str) -> dict[str, str]:
     return {"doc_id": "doc_id", "path": _FILE, "content": _dialect(COPY_CONTENT, engine)}
 
@@ -200,6 +218,16 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select(*_derived(planted_columns("spark")))
 
 
+def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").selectExpr(*[f"{sql} AS {name}" for name, sql in PAGE_AS_DOCUMENT.items()])
+    return spread(pages, "doc_id").select(*_derived(planted_page_columns("spark")))
+
+
+def planted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").selectExpr(*[f"{sql} AS {name}" for name, sql in TURN_AS_DOCUMENT.items()])
+    return spread(turns, "doc_id").select(*_derived(planted_turn_columns("spark")))
+
+
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select(*_derived(copy_columns("spark")))
 

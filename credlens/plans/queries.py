@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credlens.functions import text as tx
-from credlens.functions.sizing import spread
+from credlens.functions.sizing import ensure_checkpoint_dir, spread
 from credlens.functions.text import lit
 from credlens.operators import compliance, report, suppress, verify
 from credlens.operators.custom import Match, detect_with_python
@@ -102,14 +102,11 @@ def detect_python_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = _table(spark, d, "pages", "page_id", "url", "html")
-    return detect(pages, path="url", content="html", keep=["page_id"], entropy=True)
+    return detect(src.planted_pages(spark, d), keep=["page_id"], entropy=True)
 
 
 def scan_conversations(spark: SparkSession, d: str) -> DataFrame:
-    turns = _table(spark, d, "conversations", "conv_id", "turn", "text").selectExpr(
-        "concat('conversation/', conv_id, '/', turn) AS path", "text")
-    return detect(turns, content="text", entropy=True)
+    return detect(src.planted_turns(spark, d), entropy=True)
 
 
 def token_entropy(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +205,9 @@ def verification_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recover_secrets(spark: SparkSession, d: str) -> DataFrame:
-    return verify.recover_secrets(_scan(spark, d), src.planted(spark, d))
+    # Stored findings of an earlier scan, then a second look at their documents.
+    ensure_checkpoint_dir(spark)
+    return verify.recover_secrets(_scan(spark, d).checkpoint(), src.planted(spark, d))
 
 
 def apply_verification(spark: SparkSession, d: str) -> DataFrame:
