@@ -21,7 +21,8 @@ def lit(value: str | float | int | None) -> str:
         return "NULL"
     if isinstance(value, str):
         escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
-        return f"'{escaped}'"
+        # Spark would replace ${name} with a configuration value before parsing.
+        return "'" + escaped.replace("${", "\\u0024{") + "'"
     if isinstance(value, float):
         return f"{value!r}D"
     return str(value)
@@ -38,8 +39,9 @@ def bind(name: str, value: str, body: str) -> str:
 
 
 def normalize_newlines(text: str) -> str:
-    """Turn CRLF and lone CR into LF: two literal replaces, no regex pass over the text."""
-    return f"replace(replace({text}, '\\r\\n', '\\n'), '\\r', '\\n')"
+    """Turn CRLF and lone CR into LF: literal replaces, and only where there is a CR."""
+    unix = f"replace(replace({text}, '\\r\\n', '\\n'), '\\r', '\\n')"
+    return f"if(contains({text}, '\\r'), {unix}, {text})"
 
 
 def redact(secret: str) -> str:

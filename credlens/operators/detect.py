@@ -114,6 +114,17 @@ class _Gates:
         return expression if gate is None else f"if({gate}, {expression}, NULL)"
 
 
+def _gaps(pattern: str, found: str) -> str:
+    """Text before each match (``split`` adds the text after the last one).
+
+    When there is one match and its text occurs nowhere else, a literal search finds it;
+    otherwise only the regex itself can tell which occurrences are matches.
+    """
+    once = (f"size({found}) = 1 AND "
+            f"octet_length(substring_index(_text, {found}[0], 2)) = octet_length(_text)")
+    return f"if({once}, array(substring_index(_text, {found}[0], 1)), split(_text, {pattern}, -1))"
+
+
 def _pieces(rule: Rule, index: int, found: str) -> str:
     """Everything needed to place the matches of one rule: gaps, matches, prefix, value."""
     pattern, group = lit(rule.pattern), rule.value_group
@@ -129,7 +140,7 @@ def _pieces(rule: Rule, index: int, found: str) -> str:
     if rule.rule_id == ENTROPY_RULE_ID:
         wanted += (f" AND exists({found}, t -> {mixed_alphabet('t')} "
                    f"AND {tx.shannon_entropy('t')} >= {lit(rule.min_entropy)})")
-    return (f"if({wanted}, named_struct('rule', {index}, 'gap', split(_text, {pattern}, -1), "
+    return (f"if({wanted}, named_struct('rule', {index}, 'gap', {_gaps(pattern, found)}, "
             f"'match', {found}, 'lead', {lead}, 'value', {value}), NULL)")
 
 
@@ -186,8 +197,8 @@ def _first_per_value(hits: str) -> str:
 
 def _lookup(values: Iterable, index: str, kind: str) -> str:
     """values[index]; the array is folded into one literal."""
-    items = ", ".join(f"cast({lit(v)} AS {kind})" for v in values)
-    return f"element_at(array({items}), {index} + 1)"
+    items = ", ".join(lit(v) for v in values)
+    return f"element_at(cast(array({items}) AS array<{kind}>), {index} + 1)"
 
 
 def detect(

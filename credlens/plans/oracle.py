@@ -279,7 +279,7 @@ SELECT path, sha256(concat({unix('content')}, path)) AS text_sha256 FROM ({PLANT
         "detect_all": select_findings(planted_findings(entropy=True)),
         "detect_custom_rules": select_findings(planted_findings(pack=parse_rule_pack(CUSTOM_PACK))),
         "detect_python_rules": select_findings(planted_findings(pack=parse_rule_pack({"patterns": [
-            {"id": "hex_token", "prefix": 'token = "', "secret": "[0-9a-f]{40}", "suffix": '"',
+            {"id": "blob_value", "prefix": '(?:blob |token = ")', "secret": "[A-Za-z0-9+/=]{20,}",
              "severity": "high"}]}))),
         "scan_pages": select_findings(findings_ctes(pages, entropy=True, scope="row_id", carry="page_id"),
                                       f"{FINDING}, page_id"),

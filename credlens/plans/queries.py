@@ -92,11 +92,11 @@ def detect_custom_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def detect_python_rules(spark: SparkSession, d: str) -> DataFrame:
     import re
-    pattern = re.compile(r'token = "([0-9a-f]{40})"')
+    pattern = re.compile(r"(?:blob |token = \")([A-Za-z0-9+/=]{20,})")
 
     def detector(path: str, text: str):
         for m in pattern.finditer(text):
-            yield Match("hex_token", m.start(1), m.group(1), severity="high")
+            yield Match("blob_value", m.start(1), m.group(1), severity="high")
 
     return detect_with_python(src.planted(spark, d), detector, allowlist=Allowlist())[0]
 
