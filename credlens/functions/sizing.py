@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; counting stops one row later."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
-    The count stops at ``max_rows + 1`` rows. Beyond the limit the frame is returned
-    without a hint, and the join runs as a shuffled join that AQE can split on skew.
-    Use it for narrow key tables only; streaming frames are returned unchanged.
+    Beyond the limit the frame is returned without a hint, and the join runs as a shuffled
+    join that AQE can split on skew. Use it for narrow key tables only; streaming frames are
+    returned unchanged.
     """
-    if df.isStreaming:
+    if df.isStreaming or not is_small(df, max_rows):
         return df
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df)
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ shuffle is needed, and each changed file becomes a row of its own before detecti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from credlens.functions.sizing import broadcast_if_small
@@ -105,13 +105,18 @@ def scan_history(
     max_chars: int | None = None,
     entropy: bool = False,
     min_entropy: float = 4.0,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Findings in commit history, each attributed to the first commit that added it.
 
     The commit's own short columns ride along with the few findings, so there is no join
     back to the commits. The only shuffle is the one that finds the first occurrence.
+    ``observation`` receives commits_scanned, commits without added lines included.
     """
-    contents = added_content(newest_commits(patches, max_commits), max_chars=max_chars)
+    commits = newest_commits(patches, max_commits)
+    if observation is not None:
+        commits = commits.observe(observation, F.count(F.lit(1)).alias("commits_scanned"))
+    contents = added_content(commits, max_chars=max_chars)
     found = detect(
         contents, pack, keep=("repo", "commit_seq", *ATTRIBUTES), line_map="line_map",
         entropy=entropy, min_entropy=min_entropy, source=HISTORY)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credlens.functions import text as tx
@@ -21,12 +21,15 @@ def by_verification(findings: DataFrame) -> DataFrame:
     return findings.groupBy("verification").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scan_stats(documents: DataFrame, *, content: str = "content") -> DataFrame:
+def file_counts(content: str = "content") -> list[Column]:
     """Files scanned and files skipped because they could not be read."""
-    return documents.agg(
-        F.count(content).alias("files_scanned"),
-        F.count_if(F.col(content).isNull()).alias("files_skipped"),
-    )
+    return [F.count(content).alias("files_scanned"),
+            F.count_if(F.col(content).isNull()).alias("files_skipped")]
+
+
+def scan_stats(documents: DataFrame, *, content: str = "content") -> DataFrame:
+    """The counters of a scan as a frame; ``scan_documents`` can observe them in passing."""
+    return documents.agg(*file_counts(content))
 
 
 def _counts(column: str, values: tuple[str, ...], prefix: str) -> list:

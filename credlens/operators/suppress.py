@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlens.functions.sizing import broadcast_if_small
+from credlens.functions.sizing import broadcast_if_small, is_small
 
 
 def suppress_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -15,9 +15,16 @@ def suppress_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def exclude_ignored(documents: DataFrame, ignored: DataFrame, *, path: str = "path") -> DataFrame:
-    """Documents whose path is not in the ignored-path table."""
-    paths = broadcast_if_small(ignored.select(F.col("path").alias(path)))
-    return documents.join(paths, path, "left_anti").select(*documents.columns)
+    """Documents whose path is not in the ignored-path table.
+
+    A long list (say, of all repositories) is first cut down to the paths that occur in
+    ``documents``; that reads the path column only. So the texts are shuffled only when the
+    documents to leave out are themselves too many to broadcast.
+    """
+    paths = ignored.select(F.col("path").alias(path))
+    if not documents.isStreaming and not is_small(paths):
+        paths = documents.select(path).join(paths, path, "left_semi").distinct()
+    return documents.join(broadcast_if_small(paths), path, "left_anti").select(*documents.columns)
 
 
 def baseline_entries(findings: DataFrame, reason: str | None = None) -> DataFrame:

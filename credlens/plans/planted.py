@@ -23,12 +23,12 @@ def _dialect(template: str, engine: str) -> str:
         names = {"SHA": "sha2({0}, 256)", "B64": "base64(unhex({0}))"}
     else:
         names = {"SHA": "sha256({0})", "B64": "to_base64(from_hex({0}))"}
-    key = "cast(doc_id as varchar(20))"
+    key = "cast(doc_id as string)"
     digest = names["SHA"].format(key)
     return (template
             .replace("{B64H}", names["B64"].format(digest))
             .replace("{B64S}", names["B64"].format(f"substr({digest}, 1, 36)"))
-            .replace("{H50}", names["SHA"].format("cast(doc_id % 50 as varchar(20))"))
+            .replace("{H50}", names["SHA"].format("cast(doc_id % 50 as string)"))
             .replace("{H}", digest)
             .replace("{ID}", key)
             .replace("{NL}", NL).replace("{Q}", QUOTE))
@@ -72,7 +72,7 @@ end
 
 CONTENT = f"concat(text, {{NL}}, {PLANT}, {{NL}})"
 
-_FILE = "concat('src/f', cast(doc_id % 50 as varchar(20)), '.py')"
+_FILE = "concat('src/f', cast(doc_id % 50 as string), '.py')"
 
 # One commit per document: a file whose lines are the document's, a second hunk with lines
 # that look like file headers, and in every seventh commit a deleted file.
@@ -81,7 +81,7 @@ concat(
   'diff --git a/', {_FILE}, ' b/', {_FILE}, {{NL}},
   'index 0000000..1111111 100644', {{NL}},
   '--- a/', {_FILE}, {{NL}}, '+++ b/', {_FILE}, {{NL}},
-  '@@ -0,0 +1,', cast(length(text) - length(replace(text, {{NL}}, '')) + 1 as varchar(20)), ' @@', {{NL}},
+  '@@ -0,0 +1,', cast(length(text) - length(replace(text, {{NL}}, '')) + 1 as string), ' @@', {{NL}},
   '+', replace(text, {{NL}}, concat({{NL}}, '+')), {{NL}},
   '@@ -9,1 +5000,2 @@ def f', {{NL}},
   '--- old', {{NL}}, '+++ new', {{NL}},
@@ -130,7 +130,7 @@ def planted_columns(engine: str) -> dict[str, str]:
 PAGE_AS_DOCUMENT = {"doc_id": "page_id", "url": "url", "text": "html"}
 TURN_AS_DOCUMENT = {
     "doc_id": "conv_id * 1000 + turn",
-    "url": "concat('chat/', cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))",
+    "url": "concat('chat/', cast(conv_id as string), '/', cast(turn as string))",
     "text": "text",
 }
 
@@ -161,13 +161,13 @@ def file_columns(engine: str) -> dict[str, str]:
 
 def patch_columns(engine: str) -> dict[str, str]:
     return {
-        "repo": "concat('repo', cast(doc_id % 4 as varchar(20)))",
+        "repo": "concat('repo', cast(doc_id % 4 as string))",
         "commit_seq": "doc_id",
         "commit": _dialect("substr({H}, 1, 40)", engine),
-        "author": "concat('dev', cast(doc_id % 11 as varchar(20)))",
-        "email": "concat('dev', cast(doc_id % 11 as varchar(20)), '@mail.invalid')",
-        "date": "concat('2024-01-', lpad(cast(doc_id % 28 + 1 as varchar(20)), 2, '0'), 'T00:00:00+00:00')",
-        "summary": "concat('change ', cast(doc_id as varchar(20)))",
+        "author": "concat('dev', cast(doc_id % 11 as string))",
+        "email": "concat('dev', cast(doc_id % 11 as string), '@mail.invalid')",
+        "date": "concat('2024-01-', lpad(cast(doc_id % 28 + 1 as string), 2, '0'), 'T00:00:00+00:00')",
+        "summary": "concat('change ', cast(doc_id as string))",
         "is_merge": "doc_id % 10 = 9",
         "patch": _dialect(PATCH_TEXT, engine),
     }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from credlens.operators.dedup import first_per_fingerprint
 from credlens.operators.detect import ENTROPY_MINIMUM, detect
 from credlens.operators.history import scan_history
+from credlens.operators.report import file_counts
 from credlens.operators.suppress import exclude_ignored, suppress_baseline
 from credlens.operators.verify import apply_verification
 from credlens.rules import RulePack
@@ -26,14 +27,19 @@ def scan_documents(
     content: str = "content",
     unique_paths: bool = False,
     secret_hash: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Scan a table of documents: detect, drop repeats, drop accepted findings.
 
     With ``unique_paths`` the caller states that no path occurs twice. Then a fingerprint
-    cannot occur in two rows, and the scan has no shuffle at all.
+    cannot occur in two rows, and the scan has no shuffle at all. ``observation`` receives
+    files_scanned and files_skipped (unreadable files) when the findings are computed, so
+    the counters need no further pass over the documents.
     """
     if ignored is not None:
         documents = exclude_ignored(documents, ignored, path=path)
+    if observation is not None:
+        documents = documents.observe(observation, *file_counts(content))
     findings = detect(documents, pack, path=path, content=content, entropy=entropy,
                       min_entropy=min_entropy, secret_hash=secret_hash)
     if not unique_paths:

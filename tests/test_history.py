@@ -2,6 +2,7 @@ import shutil
 import subprocess
 
 import pytest
+from pyspark.sql import Observation
 
 from conftest import AWS, AWS_SAMPLE, GITHUB
 from credlens.operators.history import added_content, newest_commits, parse_patches, scan_history
@@ -93,6 +94,14 @@ def test_newest_commits(commits, limit, kept):
         assert sorted(r.commit_seq for r in got.collect()) == [4, 5, 7, 8]
 
 
+def test_commits_without_added_lines_are_counted(commits):
+    seen = Observation()
+    rows = commits({"seq": 1, "patch": ""}, {"seq": 2, "patch": patch("a", [(1, [AWS])])},
+                   {"seq": 3, "patch": "", "merge": True})
+    assert scan_history(rows, observation=seen).count() == 1
+    assert seen.get == {"commits_scanned": 2}
+
+
 def git(repo, *args):
     subprocess.run(["git", "-C", str(repo), *args], check=True, capture_output=True)
 

@@ -72,6 +72,15 @@ def test_ignored_paths(spark, docs):
     assert exclude_ignored(rows, ignored.where("false")).count() == 2
 
 
+def test_a_long_ignore_list_is_cut_to_the_documents(spark, docs, monkeypatch):
+    from credlens.operators import suppress
+    monkeypatch.setattr(suppress, "is_small", lambda df, *a: False)
+    rows = docs(("a.py", AWS), ("b.py", AWS))
+    ignored = spark.range(50).selectExpr("concat('x', id) AS path").union(
+        spark.createDataFrame([("b.py",)], "path string"))
+    assert [r.path for r in exclude_ignored(rows, ignored).collect()] == ["a.py"]
+
+
 def test_repeated_paths_give_one_finding(docs):
     rows = docs(("a.py", f"\n\n{AWS}"), ("a.py", AWS), ("a.py", f"x {AWS}"), ("b.py", AWS))
     found = scan_documents(rows)

@@ -2,6 +2,7 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import AWS, GITHUB
@@ -153,3 +154,10 @@ def test_report_rows_and_union(docs):
     assert "preview" not in report.csv_rows(found).columns
     labels = {r.commit_label for r in report.listing_rows(both.where("source = 'git-history'")).collect()}
     assert labels == {"12345678 T"}
+
+
+def test_counters_are_observed_in_the_same_pass(docs):
+    seen = Observation()
+    found = scan_documents(docs(("a", AWS), ("b", "x"), ("c", None)), unique_paths=True, observation=seen)
+    assert found.count() == 1
+    assert seen.get == {"files_scanned": 2, "files_skipped": 1}
