@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from credlens.functions.sizing import broadcast_if_small
-from credlens.functions.text import lit, normalize_newlines
+from credlens.functions.text import bind, lit, normalize_newlines
 from credlens.operators.dedup import first_per_fingerprint
 from credlens.operators.detect import detect
 from credlens.operators.suppress import suppress_baseline
@@ -48,21 +48,22 @@ def _added_lines(section: str) -> str:
     """array<struct<line, text>> of the lines that one file section adds.
 
     Inside a hunk every line that starts with ``+`` is an added line, also one whose own
-    text starts with ``++``; file headers can only stand before the first hunk.
+    text starts with ``++``; file headers can only stand before the first hunk. The pieces
+    between hunk marks start with the line ranges; the piece before the first is the header.
     """
-    start = r"cast(regexp_extract(hunk, '^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@', 1) AS int)"
+    start = r"cast(regexp_extract(hunk, '^\\d+(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@', 1) AS int)"
     added = "filter(split(hunk, '\\n'), l -> startswith(l, '+'))"
-    hunks = f"filter(split({section}, '\\n(?=@@ -)'), hunk -> startswith(hunk, '@@ -'))"
-    return (f"flatten(transform({hunks}, hunk -> transform({added}, "
-            f"(l, i) -> named_struct('line', {start} + i, 'text', substring(l, 2)))))")
+    hunks = f"filter(split({section}, '\\n@@ -'), (hunk, i) -> i > 0)"
+    numbered = bind("first", start, (
+        f"transform({added}, (l, i) -> named_struct('line', first + i, 'text', substring(l, 2)))"))
+    return f"flatten(transform({hunks}, hunk -> {numbered}))"
 
 
 def added_lines(patches: DataFrame) -> DataFrame:
     """One row per (commit, file) with added lines: ``path`` and ``added`` in file order."""
     others = [c for c in patches.columns if c != "patch"]
     sections = patches.selectExpr(
-        *others,
-        f"explode(split({normalize_newlines('patch')}, '(?:^|\\n)(?=diff --git )')) AS _section")
+        *others, f"explode(split({normalize_newlines('patch')}, '\\ndiff --git ')) AS _section")
     headed = sections.selectExpr(
         *others, "_section",
         "trim(BOTH ' \\t' FROM regexp_extract(substring_index(_section, '\\n@@ ', 1), "
