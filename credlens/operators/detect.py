@@ -237,7 +237,8 @@ def detect(
     found = [f"_m{i}" for i in range(len(rules))]
 
     if pack.allowlist.path_regex:
-        documents = documents.where(f"NOT {path_allowed(path, pack.allowlist)}")
+        allowed = path_allowed(f"`{path}`", pack.allowlist)
+        documents = documents.where(f"NOT coalesce({allowed}, false)")
     texts = documents.selectExpr(
         f"`{path}` AS _path", f"{tx.normalize_newlines(f'`{content}`')} AS _text", *keep,
         *([f"`{line_map}` AS _line_map"] if line_map else []),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from credlens.functions import text as tx
 from credlens.functions.text import lit
-from credlens.operators.compliance import rule_class
-from credlens.schema import SEVERITIES
+from credlens.operators.compliance import CONTROLS, TITLES, rule_class
+from credlens.schema import SEVERITIES, VERIFICATION_STATES
 
 
 def by_severity(findings: DataFrame) -> DataFrame:
@@ -53,33 +53,48 @@ def scan_summary(findings: DataFrame, scanned: DataFrame, *, scanned_as: str = "
     return stacked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stacked.columns])
 
 
-def report_summary(findings: DataFrame, *, scope: str, root: str) -> DataFrame:
-    """The report header as one nested row: counts by severity, state and control.
+def report_summary(
+    findings: DataFrame, *, scope: str, root: str, files_scanned: int = 0, commits_scanned: int = 0
+) -> DataFrame:
+    """The report without its findings, as one nested row.
 
-    Grouping is by (severity, verification, rule class) first, at most 60 rows, so the maps
-    are built from a bounded frame.
+    The findings are read once, by (severity, verification, rule class): at most 60 rows,
+    from which all maps and the control list are built. The counters of the scan come from
+    its observation.
     """
     cells = findings.groupBy("severity", "verification", F.expr(rule_class()).alias("rule_class")).agg(
         F.count(F.lit(1)).alias("n"))
-
-    def as_map(column: str, name: str) -> DataFrame:
-        counted = cells.groupBy(column).agg(F.sum("n").alias("n"))
-        return counted.agg(F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
-
-    parts = [
-        cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count")),
-        as_map("severity", "by_severity"),
-        as_map("verification", "by_verification"),
-        as_map("rule_class", "by_rule_class"),
-    ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns]).select(
-        F.lit(scope).alias("scope"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
-        F.lit(root).alias("root"), "*")
+    cells = cells.agg(F.collect_list(F.struct("*")).alias("cells"))
+
+    def as_map(column: str, values: tuple[str, ...]) -> str:
+        """{value: sum of n} without the values that do not occur."""
+        pairs = ", ".join(
+            f"named_struct('key', {lit(v)}, 'n', aggregate(filter(cells, c -> c.{column} = {lit(v)}), "
+            "0L, (acc, c) -> acc + c.n))" for v in values)
+        return f"map_from_entries(filter(array({pairs}), p -> p.n > 0))"
+
+    controls = ", ".join(
+        f"named_struct('framework', {lit(f)}, 'control_id', {lit(i)}, 'title', {lit(TITLES[i])}, 'n', "
+        f"aggregate(filter(cells, c -> c.rule_class IN ({', '.join(lit(c) for c in classes)})), "
+        "0L, (acc, c) -> acc + c.n))" for (f, i), classes in _classes_of_controls().items())
+    return cells.selectExpr(
+        f"{lit(scope)} AS scope",
+        "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ssXXX\") AS generated_at",
+        f"{lit(root)} AS root",
+        f"cast({files_scanned} AS bigint) AS files_scanned",
+        f"cast({commits_scanned} AS bigint) AS commits_scanned",
+        "aggregate(cells, 0L, (acc, c) -> acc + c.n) AS count",
+        f"{as_map('severity', tuple(reversed(SEVERITIES)))} AS by_severity",
+        f"{as_map('verification', VERIFICATION_STATES)} AS by_verification",
+        f"filter(array({controls}), c -> c.n > 0) AS compliance",
+    ).withColumn("controls_implicated", F.size("compliance"))
+
+
+def _classes_of_controls() -> dict[tuple[str, str], list[str]]:
+    classes: dict[tuple[str, str], list[str]] = {}
+    for name, framework, control in CONTROLS:
+        classes.setdefault((framework, control), []).append(name)
+    return classes
 
 
 def severity_gate(findings: DataFrame, fail_on: str) -> DataFrame:

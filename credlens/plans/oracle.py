@@ -13,7 +13,7 @@ from credlens.operators.verify import REGISTERED_VERIFIERS
 from credlens.plans import planted as src
 from credlens.plans.queries import CUSTOM_PACK, NEWEST, PATH_ALLOWLIST
 from credlens.rules import Allowlist, Rule, RulePack, default_rule_pack, parse_rule_pack
-from credlens.schema import SEVERITIES
+from credlens.schema import SEVERITIES, VERIFICATION_STATES
 
 NL = "chr(10)"
 TOKEN = r"[A-Za-z0-9+/=_\-]{24,}"
@@ -252,6 +252,8 @@ def oracle_sql() -> dict[str, str]:
     turns = table(src.planted_turn_columns("duckdb"), f"({table(src.TURN_AS_DOCUMENT, 'conversations')})")
     entries = ("SELECT fingerprint, min(rule_id) AS rule_id, min(path) AS path, 'triaged' AS reason "
                "FROM findings GROUP BY fingerprint")
+    states = ", ".join(q(v) for v in VERIFICATION_STATES)
+    control_order = ", ".join(q(f + i) for _, f, i in compliance.CONTROLS)
     html_escape = "{0}"
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         html_escape = f"replace({html_escape}, {q(raw)}, {q(entity)})"
@@ -344,6 +346,18 @@ SELECT count(DISTINCT (framework, control_id)) AS controls_implicated,
         "scan_summary": f"""
 WITH {planted_findings(entropy=True)}
 SELECT {SUMMARY}, (SELECT count(*) FROM documents) AS files_scanned FROM findings""",
+        "report_summary": f"""
+WITH {verified_ctes()}, {control_ctes().replace("FROM findings", "FROM verified")},
+sev AS (SELECT severity, severity_rank, count(*) AS n FROM verified GROUP BY ALL),
+ver AS (SELECT verification, list_position([{states}], verification) AS pos, count(*) AS n FROM verified GROUP BY ALL),
+con AS (SELECT framework, control_id, count(*) AS n, min(list_position([{control_order}], concat(framework, control_id))) AS pos
+        FROM mapped GROUP BY ALL)
+SELECT 'filesystem' AS scope, 'planted' AS root, (SELECT count(*) FROM documents) AS files_scanned,
+       (SELECT count(*) FROM verified) AS count,
+       (SELECT cast(count(*) AS integer) FROM con) AS controls_implicated,
+       (SELECT concat('{{', string_agg(concat('"', severity, '":', n), ',' ORDER BY severity_rank DESC), '}}') FROM sev) AS by_severity,
+       (SELECT concat('{{', string_agg(concat('"', verification, '":', n), ',' ORDER BY pos), '}}') FROM ver) AS by_verification,
+       (SELECT string_agg(concat(framework, ' ', control_id, ' ', n), ', ' ORDER BY pos) FROM con) AS compliance""",
         "history_summary": f"""
 WITH {history_ctes(NON_MERGE)}
 SELECT {SUMMARY}, (SELECT count(*) FROM patches) AS commits_scanned FROM history""",

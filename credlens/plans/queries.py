@@ -242,6 +242,16 @@ def scan_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.scan_summary(_scan(spark, d, entropy=True), scanned)
 
 
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    files = src.read_table(spark, d, "documents").count()
+    summary = report.report_summary(
+        apply_verification(spark, d), scope="filesystem", root="planted", files_scanned=files)
+    return summary.selectExpr(
+        "scope", "root", "files_scanned", "`count`", "controls_implicated",
+        "to_json(by_severity) AS by_severity", "to_json(by_verification) AS by_verification",
+        "array_join(transform(compliance, c -> concat(c.framework, ' ', c.control_id, ' ', c.n)), ', ') AS compliance")
+
+
 def history_summary(spark: SparkSession, d: str) -> DataFrame:
     commits = src.patches(spark, d).where("NOT is_merge").select("commit_seq")
     return report.scan_summary(scan_history(src.patches(spark, d)), commits, scanned_as="commits_scanned")
@@ -287,7 +297,7 @@ QUERIES: dict[str, Query] = {
         patch_lines, newest_commits_per_repo, history_findings, history_findings_newest, all_sources,
         verification_queue, recover_secrets, apply_verification,
         by_severity, by_verification, compliance_rollup, finding_controls, controls_implicated,
-        scan_summary, history_summary, scan_stats, severity_gate, live_gate,
+        scan_summary, report_summary, history_summary, scan_stats, severity_gate, live_gate,
         findings_report_rows, findings_csv_rows, findings_listing, findings_html_rows,
     )
 }

@@ -7,7 +7,7 @@ two parts of a report disagree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from credlens.operators.compliance import compliance_rollup
@@ -42,11 +42,17 @@ def write_findings(findings: DataFrame, path: str, fmt: str) -> str:
 
 
 def write_report(
-    findings: DataFrame, path: str, fmt: str = "json", *, scope: str = "filesystem", root: str = ""
+    findings: DataFrame,
+    path: str,
+    fmt: str = "json",
+    *,
+    scope: str = "filesystem",
+    root: str = "",
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Write the findings table, its roll-ups and the formatted rows below ``path``.
 
-    Returns the findings as read back, for further steps.
+    ``observation`` is the one given to the scan; its counters go into the summary. Returns the findings as read back, for further steps.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported report format: {fmt!r} (use one of {', '.join(FORMATS)})")
@@ -54,11 +60,13 @@ def write_report(
     stored = findings.sparkSession.read.parquet(f"{path}/findings")
     if fmt != "parquet":
         write_findings(stored, f"{path}/{fmt}", fmt)
+    seen = observation.get if observation is not None else {}
+    counters = {k: seen[k] for k in ("files_scanned", "commits_scanned") if k in seen}
     small = {
         "by_severity": by_severity(stored).orderBy(F.desc("severity_rank")),
         "by_verification": by_verification(stored),
         "compliance": compliance_rollup(stored).orderBy("framework", "control_id"),
-        "summary": report_summary(stored, scope=scope, root=root),
+        "summary": report_summary(stored, scope=scope, root=root, **counters),
     }
     for name, frame in small.items():
         frame.write.mode("overwrite").json(f"{path}/{name}")

@@ -112,13 +112,18 @@ def test_summary(table, docs):
     assert (row.findings, row.live, row.severity_medium, row.severity_low, row.files_scanned) == (2, 1, 1, 0, 3)
     nested = report.report_summary(t, scope="filesystem", root="/r").first()
     assert nested["count"] == 2 and nested.by_severity == {"medium": 1, "critical": 1}
+    assert {c.control_id: c.n for c in nested.compliance}["IA-5"] == 2 and nested.controls_implicated == 6
+    nothing = report.report_summary(t.where("false"), scope="filesystem", root="/r", files_scanned=3).first()
+    assert (nothing["count"], nothing.by_severity, nothing.compliance, nothing.files_scanned) == (0, {}, [], 3)
     assert nested.scope == "filesystem" and nested.generated_at.endswith("Z")
 
 
 def test_report_files(spark, docs, tmp_path):
     rows = docs(("a<b>.py", f"{AWS}\n{GITHUB}"), ("b.py", f"{GITHUB}\n\npass" + 'word = "hunter2hunter2hunter2"'))
-    found = scan_documents(rows)
-    stored = write_report(found, str(tmp_path / "r"), "json", root="/x")
+    seen = Observation()
+    found = scan_documents(rows, observation=seen)
+    stored = write_report(found, str(tmp_path / "r"), "json", root="/x", observation=seen)
+    assert spark.read.json(str(tmp_path / "r/summary")).first().files_scanned == 2
     assert stored.count() == 4
     lines = [json.loads(x) for f in sorted((tmp_path / "r/json").glob("part-*")) for x in f.read_text().splitlines()]
     assert [x["severity"] for x in lines] == ["critical"] * 3 + ["medium"]
