@@ -30,7 +30,7 @@ def newest_commits(patches: DataFrame, max_commits: int | None) -> DataFrame:
     survivors, so a repository with most of the commits is not one task. The result of the
     ranking is one cut-off per repository; the patches themselves are never sorted.
     """
-    commits = patches.where("NOT is_merge")
+    commits = patches.where("NOT coalesce(is_merge, false)")
     if not max_commits:
         return commits
     keys = commits.select("repo", "commit_seq")

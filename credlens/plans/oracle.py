@@ -144,7 +144,7 @@ def findings_ctes(
 PLANTED = table(src.planted_columns("duckdb"))
 PATCHES = table(src.patch_columns("duckdb"))
 ACCEPTED = table(src.accepted_columns("duckdb"), where=src.ACCEPTED_WHERE)
-OUTCOMES = table(src.outcome_columns("duckdb"), where=src.OUTCOME_WHERE)
+OUTCOMES = table(src.outcome_columns("duckdb"))
 ATTRIBUTES = "repo, commit_seq, \"commit\", author, email, date, summary"
 
 

@@ -108,7 +108,7 @@ FILE_MAX_BYTES = 4096
 # The same file in many copies: fifty paths, each holding its own key over and over.
 COPY_CONTENT = f"concat(text, {{NL}}, 'K = ', {{Q}}, {aws_key('{H50}')}, {{Q}}, {{NL}})"
 
-# Outcomes of checking the planted verifiable values.
+# Outcomes of checking the planted verifiable values, and of values found nowhere.
 VALUE_TO_CHECK = """
 case doc_id % 16
   when 1 then concat('gh', 'p_', substr({H}, 1, 36))
@@ -186,8 +186,8 @@ def accepted_columns(engine: str) -> dict[str, str]:
     }
 
 
-ACCEPTED_WHERE = "doc_id % 3 = 0"
-OUTCOME_WHERE = "doc_id % 16 in (1, 8, 13)"
+# What is in a language other than English counts as triaged.
+ACCEPTED_WHERE = "lang <> 'en'"
 
 
 def outcome_columns(engine: str) -> dict[str, str]:
@@ -246,5 +246,5 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").where(OUTCOME_WHERE)
+    documents = read_table(spark, sf_dir, "documents")
     return documents.select(*_derived(outcome_columns("spark")))

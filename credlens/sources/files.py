@@ -8,6 +8,7 @@ over the cluster between them, so one huge directory does not become one task.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -47,11 +48,17 @@ def _list_level(directories: DataFrame, base: str, skip: frozenset[str]) -> Data
         for batch in batches:
             for directory in batch["path"]:
                 system, inside, scheme = _filesystem(directory)
-                found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+                local = isinstance(system, fs.LocalFileSystem)
+                try:
+                    found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+                except OSError:          # a directory that may not be opened has no entries
+                    continue
                 rows = [
                     (scheme + i.path, (scheme + i.path)[len(base):].lstrip("/"), i.size or 0,
                      i.type == fs.FileType.Directory)
                     for i in found if i.base_name not in skip
+                    # Links to directories are not followed: they may lead back up.
+                    and not (local and i.type == fs.FileType.Directory and os.path.islink(i.path))
                 ]
                 for start in range(0, len(rows), _BATCH_ROWS):
                     yield pd.DataFrame(rows[start:start + _BATCH_ROWS],
@@ -68,7 +75,7 @@ def list_files(spark: SparkSession, root: str, *, extra_skip_dirs: Iterable[str]
     lineage stays short; nothing but the question "any directories left" reaches the driver.
     """
     ensure_checkpoint_dir(spark)
-    base = root.rstrip("/")
+    base = root.rstrip("/") or "/"
     skip = frozenset((*SKIP_DIRS, *extra_skip_dirs))
     frontier = spark.createDataFrame([(base,)], "path string")
     levels: list[DataFrame] = []

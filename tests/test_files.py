@@ -27,6 +27,7 @@ def tree(tmp_path):
     (root / "crlf.py").write_bytes(f"x\r\nK = '{AWS}'\r\n".encode())
     (root / "src" / "deep" / "deeper" / "vendor").write_text("a file named like a noise directory")
     (root / "src" / "deep" / "deeper" / "z.cfg").write_text("z")
+    (root / "src" / "loop").symlink_to(root, target_is_directory=True)
     return root
 
 
