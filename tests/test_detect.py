@@ -74,6 +74,14 @@ def test_entropy_detector(docs, rules_found):
     assert rules_found(detect(rows, entropy=True)) == ["generic_api_key_assignment", "high_entropy_string"]
 
 
+def test_entropy_tokens_next_to_any_separator(docs):
+    rows = docs(("tab", f"a\t{RANDOM_TOKEN}\tb"), ("lines", f"a\n{RANDOM_TOKEN}\nb"), ("quote", f"x='{RANDOM_TOKEN}'"),
+                ("accent", f"é{RANDOM_TOKEN}é"), ("alone", RANDOM_TOKEN), ("cut", f"{RANDOM_TOKEN[:23]} {RANDOM_TOKEN[:23]}"))
+    found = detect(rows, signatures=False, entropy=True)
+    assert {r.path: (r.line, r.column) for r in found.collect()} == {
+        "tab": (1, 3), "lines": (2, 1), "quote": (1, 4), "accent": (1, 2), "alone": (1, 1)}
+
+
 def test_inline_pragma_only_on_the_marked_line(docs):
     rows = docs(("a", f'k = "{AWS}"  # pragma: allowlist secret\n'), ("b", f'k = "{AWS}"\n'),
                 ("c", f"k = {AWS} // GitLeaks:Allow"), ("d", f"k = {AWS} # pragma:  allowlist-secret"),
