@@ -8,17 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 1_000_000
+BROADCAST_BYTE_LIMIT = 128 * 1024 * 1024
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counting stops one row later."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT
+) -> bool:
+    """Whether ``df`` stays within both bounds; counting stops one row after ``max_rows``."""
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    seen = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("bytes")).first()
+    return seen.rows <= max_rows and (seen.bytes or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+    """Hint a broadcast only after measuring that ``df`` is small in rows and in bytes.
 
-    Beyond the limit the frame is returned without a hint, and the join runs as a shuffled
+    Beyond the limits the frame is returned without a hint, and the join runs as a shuffled
     join that AQE can split on skew. Use it for narrow key tables only; streaming frames are
     returned unchanged.
     """

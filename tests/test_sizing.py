@@ -11,6 +11,9 @@ def test_only_inputs_with_few_splits_are_spread(spark):
 
 def test_is_small(spark):
     assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
+    wide = spark.range(10).selectExpr("repeat('x', 1000) AS path")
+    assert is_small(wide, 10) and not is_small(wide, 10, max_bytes=9_999)
+    assert is_small(wide.where("false"), 10)
 
 
 def test_checkpoint_dir_of_the_session_is_kept(spark):
