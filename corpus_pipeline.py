@@ -10,10 +10,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, mixing
+from credlens.llm import cuckoo, mixing, repetition
 from credlens.llm.shared import read_table, shared_folder
 
 
+def reject_repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or repeat themselves too much go."""
+    return repetition.keep_unrepetitive(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return cuckoo.drop_copies(docs)
@@ -25,6 +30,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality_rules", reject_repetition),
     ("exact_dedup", drop_exact_copies),
     ("mix_sources", mix_to_weights),
 ]

@@ -2,6 +2,39 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS text,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+w3 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 2], ' ')) AS c
+       FROM places WHERE i + 2 <= len(ws)),
+c3 AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM w3 WHERE c > 1) GROUP BY doc_id),
+w8 AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 7], ' ')) AS g FROM places WHERE i + 7 <= len(ws)),
+c8 AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+         SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w8) WHERE c > 1)
+       GROUP BY doc_id),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS gap FROM w8 a JOIN w8 b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+islands AS (SELECT doc_id, gap, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM pairs),
+runs AS (SELECT doc_id, count(*) + 7 AS n FROM islands GROUP BY doc_id, gap, island),
+longest AS (SELECT doc_id, max(n) AS n FROM runs GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(c8.n, 0)::BIGINT AS n_covered_words, coalesce(longest.n, 0)::BIGINT AS longest_repeat
+  FROM words w LEFT JOIN dup USING (doc_id) LEFT JOIN c3 USING (doc_id)
+  LEFT JOIN c8 USING (doc_id) LEFT JOIN longest USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_covered_words <= 3 * n_words AND longest_repeat <= 100 AS kept,
+       n_covered_words, longest_repeat
+FROM failed
+"""
+
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -39,4 +72,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op4_source_mix": OP4, "op9_exact_dedup": OP9}
+ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op9_exact_dedup": OP9}
