@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, mixing, repetition
+from credlens.llm import cuckoo, mixing, repetition, simhash
 from credlens.llm.shared import read_table, shared_folder
 
 
@@ -24,6 +24,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cuckoo.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints, the document with the smallest id stays."""
+    return simhash.keep_one_each(docs)
+
+
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that the mix takes twice is there twice."""
     return mixing.take_mix(docs)
@@ -32,6 +37,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality_rules", reject_repetition),
     ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("mix_sources", mix_to_weights),
 ]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlens.llm.shared import materialize
+from credlens.llm.shared import keep_rows, materialize, tag_rows
 
 #: Slots of a bucket, and how often an insertion may move another key before the index grows.
 SLOTS, KICKS = 4, 256
@@ -193,25 +193,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are.
-
-    Only the keys of rows that go are joined back to the texts, by an anti join. Rows that
-    share text and id can't be told apart by those keys: where there are any, they meet in a
-    last step that keeps one of each.
-    """
-    key = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("digest"),
-                         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)).alias("top"))
-    rows = materialize(tagged.select("top", "digest", F.monotonically_increasing_id().alias("rid")))
+    """The rows of ``docs`` that stay, all columns as they are."""
+    tagged = tag_rows(docs, id_col, text_col)
+    rows = materialize(tagged.select(F.coalesce("id", F.lit(_LOWEST)).alias("top"), "digest",
+                                     F.monotonically_increasing_id().alias("rid")))
     groups = group_copies(rows).filter("n > 1").select("digest", F.col("top").alias("best"))
-    members = materialize(rows.join(groups, "digest").groupBy("digest", "top", "best").count())
-    repeats = members.filter("top = best and count > 1").select("digest", "top")
-    gone = members.filter("top != best or count > 1").select("digest", "top")
-    kept = tagged.join(gone, ["digest", "top"], "left_anti").select("row.*")
-    if repeats.isEmpty():
-        return kept
-    again = tagged.join(repeats, ["digest", "top"], "left_semi").dropDuplicates(["digest"])
-    return kept.unionByName(again.select("row.*"))
+    marked = rows.join(groups, "digest").select(F.col("top").alias("id"), "digest", (F.col("top") == F.col("best")).alias("kept"))
+    return keep_rows(tagged, marked)
 
 
 def update_live(live: DataFrame, changes: DataFrame, shards: int = 64) -> DataFrame:

@@ -22,7 +22,7 @@ runs AS (SELECT doc_id, count(*) + 7 AS n FROM islands GROUP BY doc_id, gap, isl
 longest AS (SELECT doc_id, max(n) AS n FROM runs GROUP BY doc_id),
 base AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.n, 0)::BIGINT AS n_repeat_words,
          coalesce(c8.n, 0)::BIGINT AS n_covered_words, coalesce(longest.n, 0)::BIGINT AS longest_repeat

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, mixing, repetition
+from credlens.llm import cuckoo, mixing, repetition, simhash
 from credlens.llm.shared import read_table
 
 
@@ -14,6 +14,10 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -24,6 +28,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_rules": op2_repetition_rules,
+    "op3_simhash_components": op3_simhash_components,
     "op4_source_mix": op4_source_mix,
     "op9_exact_dedup": op9_exact_dedup,
 }

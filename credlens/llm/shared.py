@@ -63,3 +63,28 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     base = F.create_map(*offsets)[F.col(pid)] if offsets else F.lit(0)
     place = F.row_number().over(Window.partitionBy(pid).orderBy(*order))
     return ranged.withColumn(name, (base + place - 1).cast("long")).drop(pid)
+
+
+def tag_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(row, id, digest) and more: whole rows beside a key made of id and text."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{id_col}`").cast("long").alias("id"), digest.alias("digest"), *more)
+
+
+def keep_rows(tagged: DataFrame, marked: DataFrame) -> DataFrame:
+    """The whole rows of which ``marked`` (id, digest, kept), one line per row, keeps the key.
+
+    Only keys that go are joined to the rows, by an anti join. Rows that share id and text
+    can't be told apart by their keys: where such a key is kept, one of its rows stays.
+    """
+    key = [F.coalesce("id", F.lit(-(2**63))).alias("id"), "digest"]
+    keys = materialize(marked.select(*key, "kept").groupBy("id", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept"))
+    rows = tagged.select("row", *key)
+    once = rows.join(keys.select("id", "digest"), ["id", "digest"], "left_anti").select("row.*")
+    repeats = keys.filter("kept").select("id", "digest")
+    if repeats.isEmpty():
+        return once
+    again = rows.join(repeats, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return once.unionByName(again.select("row.*"))
