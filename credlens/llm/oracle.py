@@ -65,6 +65,28 @@ SELECT doc_id, size, source_size, target,
 FROM chosen
 """
 
+OP5 = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM raw),
+places AS (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS i FROM sized),
+windows AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS w FROM places),
+hits AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY w) AS c FROM windows) WHERE c > 1),
+steps AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true)::INT AS fresh FROM hits),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY ALL),
+ordered AS (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS was,
+                   lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a FROM spans),
+kept AS (
+  SELECT s.doc_id, sum(o.b - o.a) AS removed, count(*) AS runs,
+         string_agg(substr(h, 2 * coalesce(was, 0) + 1, 2 * (o.a - coalesce(was, 0))), '' ORDER BY o.a)
+         || first(substr(h, 2 * last_b + 1)) AS rest
+  FROM ordered o JOIN (SELECT doc_id, max(b) AS last_b FROM spans GROUP BY doc_id) USING (doc_id) JOIN sized s USING (doc_id)
+  GROUP BY s.doc_id)
+SELECT s.doc_id, s.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+       sha256(from_hex(coalesce(rest, h))) AS kept_sha256
+FROM sized s LEFT JOIN kept USING (doc_id)
+"""
+
 OP9 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -72,4 +94,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op9_exact_dedup": OP9}
+ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op9_exact_dedup": OP9}

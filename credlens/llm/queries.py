@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, mixing, repetition, simhash
+from credlens.llm import cuckoo, mixing, repetition, simhash, suffix_dedup
 from credlens.llm.shared import read_table
 
 
@@ -22,6 +22,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -30,5 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_rules": op2_repetition_rules,
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mix": op4_source_mix,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }

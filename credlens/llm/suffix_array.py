@@ -15,48 +15,48 @@ import numpy as np
 class SuffixArray:
     """``order``: suffixes sorted by content; ``lcp[i]``: symbols shared by order[i-1] and order[i].
 
-    ``symbols`` are integers >= 0, ``ends[i]`` is where the text of position i stops. Common
-    prefixes are exact up to ``depth`` symbols (None: without bound).
+    ``symbols`` are integers >= 0, ``ends[i]`` is where the text of position i stops. ``packed``
+    may give the first ``width`` (8) bytes from each position as one big-endian number, which
+    saves rounds; common prefixes shorter than ``width`` then count as 0.
     """
 
-    def __init__(self, symbols: np.ndarray, ends: np.ndarray, depth: int | None = None) -> None:
+    def __init__(self, symbols: np.ndarray, ends: np.ndarray, packed: np.ndarray | None = None, width: int = 1) -> None:
         n = len(symbols)
-        self.ends = ends
-        self.levels: list[tuple[int, np.ndarray]] = []
-        at = np.arange(n)
-        order = np.argsort(symbols, kind="stable")
-        rank = self._ranks(symbols[order], order, np.zeros(n, bool))
-        self.levels.append((1, rank))
-        length = 1
+        self.symbols, self.ends = symbols, ends
+        left = np.minimum(ends - np.arange(n), width).astype(np.int8)
+        short = left < width
+        if packed is None:
+            keys, order = symbols, np.argsort(symbols, kind="stable")
+        else:  # what follows a text's end is not part of its suffixes; the shorter of two stands first
+            keys = packed & (np.uint64(2**64 - 1) << (8 * (width - left)).astype(np.uint64))
+            order = np.argsort(left, kind="stable")
+            order = order[np.argsort(keys[order], kind="stable")]
+        fresh = np.r_[True, (keys[order[1:]] != keys[order[:-1]]) | short[order[:-1]]][:n] | short[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
+        self.levels = [(width, rank)]
         shared = self._shared(rank, order)
-        while shared.any() and (depth is None or length < depth):
+        while shared.any():
             active = order[shared]
-            step = length if depth is None else min(length, depth - length)
-            follow = active + step
+            follow = active + width
             inside = follow < ends[active]
-            second = np.where(inside, rank[np.minimum(follow, n - 1)] + 1, 0)
-            # A suffix that stops here stands apart from every other: it has no longer prefix to share.
-            first = rank[active]
+            # A suffix that stops here has no longer prefix to share: it stands apart, before the rest.
+            second = np.where(inside, rank[np.minimum(follow, n - 1)].astype(np.int64) + 1, 0)
+            first = rank[active].astype(np.int64)
             by = np.argsort(first * (n + 2) + second, kind="stable")
             active, first, second, inside = active[by], first[by], second[by], inside[by]
-            group = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+            new = np.r_[True, first[1:] != first[:-1]]
+            group = np.flatnonzero(new)
             slots = first + np.arange(len(active)) - np.repeat(group, np.diff(np.r_[group, len(active)]))
             order[slots] = active
-            fresh = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])] | ~inside
+            fresh = new | np.r_[True, second[1:] != second[:-1]] | ~inside
             rank = rank.copy()
             rank[active] = np.maximum.accumulate(np.where(fresh, slots, 0))
-            length += step
-            self.levels.append((step, rank))
+            width *= 2
+            self.levels.append((width, rank))
             shared = self._shared(rank, order)
         self.order, self.lcp = order, self._common(order, n)
 
-    @staticmethod
-    def _ranks(keys: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), np.int64)
-        fresh = np.r_[True, keys[1:] != keys[:-1]][: len(order)]
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        return rank
-
     @staticmethod
     def _shared(rank: np.ndarray, order: np.ndarray) -> np.ndarray:
         sorted_rank = rank[order]
@@ -71,16 +71,19 @@ class SuffixArray:
         near = np.flatnonzero(self.levels[0][1][order[1:]] == self.levels[0][1][order[:-1]]) + 1
         a, b = order[near - 1], order[near]
         stop_a, stop_b = self.ends[a], self.ends[b]
-        shared, width = np.zeros(len(near), np.int64), 1
-        widths = [1]
-        for step, _ in self.levels[1:]:
-            width += step
-            widths.append(width)
-        for width, (_, rank) in zip(reversed(widths), reversed(self.levels)):
+        shared = np.zeros(len(near), np.int64)
+        for width, rank in reversed(self.levels):
             x, y = a + shared, b + shared
             fits = (x + width <= stop_a) & (y + width <= stop_b)
             fits[fits] = rank[x[fits]] == rank[y[fits]]
             shared[fits] += width
+        for _ in range(1, self.levels[0][0]):  # what a packed key leaves
+            x, y = a + shared, b + shared
+            fits = (x < stop_a) & (y < stop_b)
+            fits[fits] = self.symbols[x[fits]] == self.symbols[y[fits]]
+            if not fits.any():
+                break
+            shared[fits] += 1
         lcp[near] = shared
         return lcp
 
