@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, mixing, repetition, simhash, suffix_dedup
+from credlens.llm import cuckoo, mixing, repetition, simhash, suffix_dedup, token_files
 from credlens.llm.shared import read_table
 
 
@@ -30,10 +31,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_files.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_rules": op2_repetition_rules,
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mix": op4_source_mix,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
