@@ -46,7 +46,7 @@ def _numbers(words: list[bytes], base: int) -> list[int]:
     return [number(w, base + len(known)) for w in words]
 
 
-def word_array(texts: list[list[bytes]]) -> tuple[SuffixArray, np.ndarray]:
+def word_array(texts: list[list[bytes]], least: int = BASE_WINDOW) -> tuple[SuffixArray, np.ndarray]:
     """One suffix array for texts given as words, and where each text starts (and the end)."""
     symbols: list[int] = []
     bounds = [0]
@@ -54,7 +54,7 @@ def word_array(texts: list[list[bytes]]) -> tuple[SuffixArray, np.ndarray]:
         symbols += _numbers(words, bounds[-1])
         bounds.append(len(symbols))
     edges = np.array(bounds)
-    return SuffixArray(np.array(symbols, np.int64), np.repeat(edges[1:], np.diff(edges))), edges
+    return SuffixArray(np.array(symbols, np.int64), np.repeat(edges[1:], np.diff(edges)), least=least), edges
 
 
 def _repeats(texts: list[list[bytes]], min_words: int) -> Iterator[tuple[int, int, int]]:
@@ -129,7 +129,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                array, edges = word_array([(text.as_py() or "").encode().split()])
+                array, edges = word_array([(text.as_py() or "").encode().split()], min_words)
                 symbols = np.empty(edges[-1], np.int64)
                 symbols[array.order] = array.levels[0][1][array.order]
                 left = np.r_[-1, symbols[:-1]][: edges[-1]]

@@ -17,10 +17,11 @@ class SuffixArray:
 
     ``symbols`` are integers >= 0, ``ends[i]`` is where the text of position i stops. ``packed``
     may give the first ``width`` (8) bytes from each position as one big-endian number, which
-    saves rounds; common prefixes shorter than ``width`` then count as 0.
+    saves rounds. Common prefixes shorter than ``width`` or ``least`` may count as 0.
     """
 
-    def __init__(self, symbols: np.ndarray, ends: np.ndarray, packed: np.ndarray | None = None, width: int = 1) -> None:
+    def __init__(self, symbols: np.ndarray, ends: np.ndarray, packed: np.ndarray | None = None, width: int = 1,
+                 least: int = 1) -> None:
         n = len(symbols)
         self.symbols, self.ends = symbols, ends
         left = np.minimum(ends - np.arange(n), width).astype(np.int8)
@@ -55,7 +56,7 @@ class SuffixArray:
             width *= 2
             self.levels.append((width, rank))
             shared = self._shared(rank, order)
-        self.order, self.lcp = order, self._common(order, n)
+        self.order, self.lcp = order, self._common(order, n, least)
 
     @staticmethod
     def _shared(rank: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -63,12 +64,14 @@ class SuffixArray:
         same = sorted_rank[1:] == sorted_rank[:-1]
         return np.r_[False, same] | np.r_[same, False] if len(order) else np.zeros(0, bool)
 
-    def _common(self, order: np.ndarray, n: int) -> np.ndarray:
+    def _common(self, order: np.ndarray, n: int, least: int) -> np.ndarray:
         """Longest common prefixes of neighbours, from the ranks of all levels, longest first."""
         lcp = np.zeros(n, np.int64)
         if n < 2:
             return lcp
-        near = np.flatnonzero(self.levels[0][1][order[1:]] == self.levels[0][1][order[:-1]]) + 1
+        first = max((k for k, (width, _) in enumerate(self.levels) if width <= least), default=0)
+        sorted_rank = self.levels[first][1][order]
+        near = np.flatnonzero(sorted_rank[1:] == sorted_rank[:-1]) + 1
         a, b = order[near - 1], order[near]
         stop_a, stop_b = self.ends[a], self.ends[b]
         shared = np.zeros(len(near), np.int64)

@@ -24,7 +24,7 @@ further columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -178,7 +178,7 @@ def interval_groups(bodies: list[bytes], length: int = LENGTH) -> Iterator[tuple
     stops = np.cumsum(sizes)
     starts = stops - sizes
     packed = np.lib.stride_tricks.sliding_window_view(data, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
-    array = SuffixArray(data[:n], np.repeat(stops, sizes), packed, 8)
+    array = SuffixArray(data[:n], np.repeat(stops, sizes), packed, 8, length)
     left = np.r_[np.int64(-1), data[:n - 1].astype(np.int64)]
     left[starts[sizes > 0]] = -1 - np.flatnonzero(sizes > 0)  # nothing before a text: its like is nowhere else
     for size, low, high in array.maximal_repeats(left, length):
@@ -187,28 +187,46 @@ def interval_groups(bodies: list[bytes], length: int = LENGTH) -> Iterator[tuple
         yield size, list(zip(owner.tolist(), (places - starts[owner]).tolist()))
 
 
-def _trees(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, ctx, n, body) by gram; yields occurrences (gram, ctx, repeat, size, start)."""
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        bodies = [r[3] for r in rows]
-        out = [(g, c, c, len(body), 0) for g, c, n, body in rows if n > 1]
-        for size, places in interval_groups(bodies):
-            name = xxhash.xxh3_64_intdigest(bodies[places[0][0]][places[0][1]:places[0][1] + size]) >> 1
-            out += [(*rows[i][:2], name, size, at) for i, at in places]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
-                                          ["gram", "ctx", "repeat", "size", "start"]) if out else None
+def _solve_groups(rows: list[tuple]) -> list[tuple]:
+    """All occurrences: (gram, ctx, start, size, repeat)."""
+    bodies = [r[3] for r in rows]
+    out = [(g, c, 0, len(body), c) for g, c, n, body in rows if n > 1]
+    for size, places in interval_groups(bodies):
+        name = xxhash.xxh3_64_intdigest(bodies[places[0][0]][places[0][1]:places[0][1] + size]) >> 1
+        out += [(*rows[i][:2], at, size, name) for i, at in places]
+    return out
+
+
+def _solve_spans(rows: list[tuple]) -> list[tuple]:
+    """The union of all occurrences in each context: (gram, ctx, start, size, 0)."""
+    edges = np.cumsum([0, *(len(r[3]) + 1 for r in rows)])  # one position between contexts
+    starts, sizes = [edges[i] for i, r in enumerate(rows) if r[2] > 1], [len(r[3]) for r in rows if r[2] > 1]
+    for size, places in interval_groups([r[3] for r in rows]):
+        starts += [edges[i] + at for i, at in places]
+        sizes += [size] * len(places)
+    gone = covered(np.array(starts, np.int64), np.array(sizes, np.int64), int(edges[-1]))
+    runs = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+    owner = np.searchsorted(edges, runs[::2], "right") - 1
+    return [(*rows[i][:2], a - int(edges[i]), b - a, 0)
+            for i, a, b in zip(owner.tolist(), runs[::2].tolist(), runs[1::2].tolist())]
+
+
+def _trees(batches: Iterator[pa.RecordBatch], solve: Callable, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, ctx, n, body) in the order of gram; whole grams are solved together."""
+    def flush() -> Iterator[pa.RecordBatch]:
+        if out := solve(held):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["gram", "ctx", "start", "size", "repeat"])
 
     held, size, last = [], 0, None
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if row[0] != last and size >= batch_bytes:
-                if (out := solve(held)) is not None:
-                    yield out
+                yield from flush()
                 held, size = [], 0
             held.append(row)
             size, last = size + len(row[3]), row[0]
-    if held and (out := solve(held)) is not None:
-        yield out
+    if held:
+        yield from flush()
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -221,12 +239,12 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _again(found: DataFrame) -> DataFrame:
     """The rows whose gram is seen more than once."""
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("gram")
+    grams = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("gram"))
     return found.join(grams, "gram", "left_semi")
 
 
-def _occurrences(docs: DataFrame, base: DataFrame, text_col: str, unit: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Texts that hold a repeated anchor (key, text), and all occurrences (key, repeat, size, start)."""
+def _occurrences(docs: DataFrame, base: DataFrame, text_col: str, solve: Callable, unit: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Texts that hold a repeated anchor (key, text), and what ``solve`` finds (key, start, size, repeat)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = materialize(_again(base.select("key", F.explode("found").alias("f")).select("key", "f.*")))
     keys = found.select("key").distinct()
@@ -262,12 +280,12 @@ def _occurrences(docs: DataFrame, base: DataFrame, text_col: str, unit: int, bat
         bodies = with_texts(distinct.filter("members > 1"), "gram", "ctx", "start", "windows", "n").mapInArrow(
             _cut_out, "gram bigint, ctx bigint, n bigint, body binary")
         repeats = bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(
-            partial(_trees, batch_bytes=batch_bytes), "gram bigint, ctx bigint, repeat bigint, size bigint, start bigint")
+            partial(_trees, solve=solve, batch_bytes=batch_bytes), "gram bigint, ctx bigint, start bigint, size bigint, repeat bigint")
         alone = distinct.filter("members = 1 and n > 1").select(
-            "gram", "ctx", F.col("ctx").alias("repeat"), (F.col("windows") + LENGTH - 1).cast("long").alias("size"), F.lit(0).cast("long").alias("start"))
+            "gram", "ctx", F.lit(0).cast("long").alias("start"), (F.col("windows") + LENGTH - 1).cast("long").alias("size"), F.col("ctx").alias("repeat"))
         at = repeats.unionByName(alone).withColumnRenamed("start", "inside")
         out.append(rows.select("gram", "ctx", "key", "start").distinct().join(at, ["gram", "ctx"])
-                   .select("key", "repeat", "size", (F.col("start") + F.col("inside")).alias("start")))
+                   .select("key", (F.col("start") + F.col("inside")).alias("start"), "size", "repeat"))
     joined = out[0]
     for more in out[1:]:
         joined = joined.unionByName(more)
@@ -287,7 +305,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cleaned(docs: DataFrame, text_col: str, base: DataFrame, unit: int, batch_bytes: int) -> DataFrame:
-    texts, occurrences = _occurrences(docs, base, text_col, unit, batch_bytes)
+    texts, occurrences = _occurrences(docs, base, text_col, _solve_spans, unit, batch_bytes)
     spans = occurrences.groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     return texts.join(spans, "key").select("key", "text", "spans").mapInArrow(
         _remove, "key binary, n_removed bigint, n_spans bigint, kept_sha binary, kept binary")
@@ -312,5 +330,5 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the windows of its anchor; longer ones come as groups that overlap.
     """
     base = _base(docs, id_col, text_col)
-    _, occurrences = _occurrences(docs, base, text_col, unit, batch_bytes)
+    _, occurrences = _occurrences(docs, base, text_col, _solve_groups, unit, batch_bytes)
     return occurrences.select("repeat", "size", F.lower(F.hex("key")).alias("text_key"), "start").distinct()
