@@ -28,8 +28,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
-from itertools import chain
+from functools import lru_cache, partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ from credlens.llm.shared import materialize, shared_folder
 
 #: Token ids of a frame, compression level, id at the end of a document.
 FRAME_IDS, LEVEL, END_ID = 1 << 18, 3, 0
-#: Words whose ids a task keeps.
-CACHE_WORDS = 400_000
+#: Pieces whose ids a worker keeps, and characters of text that are split at a time.
+CACHE_WORDS, CHARS = 300_000, 1 << 19
 # Magic numbers of the seekable format and of its skippable frames; the descriptor says that checksums follow.
 _INDEX_MAGIC, _SEEK_MAGIC, _END_MAGIC, _DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 # Fixed value: the pattern by which a byte-level tokenizer splits text before its merges.
@@ -76,21 +76,47 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._library(texts)
-        whole = [any(s in t for s in self.special) for t in texts]
-        pieces = [[] if w else _SPLIT.findall(t) for t, w in zip(texts, whole)]
-        seen = set(chain.from_iterable(pieces))
+    def _learn(self, seen: set[str]) -> None:
         if len(self.known) + len(seen) > CACHE_WORDS:
             self.known = {}
         new = list(seen.difference(self.known))
         self.known.update(zip(new, self._library(new)))
-        ids = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        if any(whole):
-            special = iter(self._library([t for t, w in zip(texts, whole) if w]))
-            ids = [next(special) if w else i for i, w in zip(ids, whole)]
-        return ids
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        pieces = [_SPLIT.findall(t) for t in texts]
+        self._learn(set(chain.from_iterable(pieces)))
+        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+
+    def _long(self, text: str) -> bytes:
+        """A text whose pieces are found and encoded in steps, as a list of all would be large."""
+        out, found = [], (m.group() for m in _SPLIT.finditer(text))
+        while pieces := list(islice(found, CHARS // 8)):
+            self._learn(set(pieces))
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The texts' ids, in order; texts of about CHARS characters are worked on at a time."""
+        held, size = [], 0
+        for text in texts:
+            whole = not self.by_piece or any(s in text for s in self.special)
+            if whole or len(text) > CHARS:
+                yield from self._pieces(held)
+                held, size = [], 0
+                yield self._library([text])[0] if whole else self._long(text)
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= CHARS:
+                yield from self._pieces(held)
+                held, size = [], 0
+        yield from self._pieces(held)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker keeps its encoder, and the pieces it knows, from task to task."""
+    return Encoder(path)
 
 
 def pack_frame(doc_ids: list[int | None], bodies: list[bytes]) -> bytes:
@@ -168,13 +194,13 @@ class FrameReader:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> Iterator[pa.RecordBatch]:
-    encoder, store = Encoder(tokenizer), None
+    store = None
     task = TaskContext.get()
     name = f"part-{task.partitionId():06d}.ids.zst"
     doc_ids, bodies, held, total = [], [], 0, [0, 0]
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for doc_id, body in zip(ids, encoder.encode(texts)):
+        for doc_id, body in zip(ids, encoder(tokenizer).encode(texts)):
             if store is None:
                 store, root = fs.FileSystem.from_uri(folder)
                 draft = f"{root}/.{name}-{task.taskAttemptId()}"
