@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, markov_secrets, mixing, repetition, simhash, suffix_dedup, token_files
+from credlens.llm import cuckoo, langid, markov_secrets, mixing, repetition, simhash, suffix_dedup, token_files
 from credlens.llm.shared import read_table
 
 
@@ -27,6 +27,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov_secrets.find_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mix": op4_source_mix,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_language_families": op6_language_families,
     "op8_markov_secrets": op8_markov_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
