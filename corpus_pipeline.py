@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, mixing, repetition, simhash
+from credlens.llm import cuckoo, mixing, repetition, sentencepiece_codec, simhash
 from credlens.llm.shared import read_table, shared_folder
 
 
@@ -34,11 +35,17 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.take_mix(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document that is left, and whether decoding them gives its text."""
+    return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("quality_rules", reject_repetition),
     ("exact_dedup", drop_exact_copies),
     ("simhash_near_dedup", drop_near_copies),
     ("mix_sources", mix_to_weights),
+    ("sentencepiece", encode_pieces),
 ]
 
 #: The stages' models and suffix arrays are beyond SQL; tests hold them against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, langid, markov_secrets, mixing, repetition, simhash, suffix_dedup, token_files
+from credlens.llm import cuckoo, langid, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files
 from credlens.llm.shared import read_table
 
 
@@ -31,6 +31,11 @@ def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov_secrets.find_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_families": op6_language_families,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_markov_secrets": op8_markov_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
