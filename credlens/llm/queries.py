@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, langid, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files
+from credlens.llm import cuckoo, langid, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files, warc
 from credlens.llm.shared import read_table
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.response_records(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.build_derivatives(responses, "record", "page_id")
+
+
 def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,6 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_repetition_rules": op2_repetition_rules,
     "op3_simhash_components": op3_simhash_components,
     "op4_source_mix": op4_source_mix,
