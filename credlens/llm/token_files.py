@@ -25,7 +25,9 @@ columns are not read. A document longer than a frame is a frame of its own.
 
 from __future__ import annotations
 
+import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -47,11 +49,14 @@ from credlens.llm.shared import materialize, shared_folder
 #: Token ids of a frame, compression level, id at the end of a document.
 FRAME_IDS, LEVEL, END_ID = 1 << 18, 3, 0
 #: Pieces whose ids a worker keeps, and characters of text that are split at a time.
-CACHE_WORDS, CHARS = 300_000, 1 << 19
+CACHE_WORDS, CHARS = 500_000, 1 << 19
 # Magic numbers of the seekable format and of its skippable frames; the descriptor says that checksums follow.
 _INDEX_MAGIC, _SEEK_MAGIC, _END_MAGIC, _DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 # Fixed value: the pattern by which a byte-level tokenizer splits text before its merges.
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+# Fixed value: byte-level vocabularies write printable bytes as they are, the others as code points from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = dict(zip(sorted(set(range(256)).difference(_PLAIN)), map(chr, range(256, 512))))
 _ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("check", "<u4")])
 _INDEX = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("first", "<i8"), ("last", "<i8")])
 
@@ -59,9 +64,9 @@ _INDEX = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("first", "<i8"), ("last", "
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Byte-level tokenizers split text by a fixed pattern before anything else and then treat each
-    piece by itself, so the ids of pieces seen before are kept. Any other tokenizer, and a text
-    that holds one of its special tokens, goes through the library as a whole.
+    Byte-level tokenizers split text by a fixed pattern before anything else and then merge each
+    piece by itself, so the library merges a piece once and its ids are kept. Any other
+    tokenizer, and a text that holds a special token, goes through the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,16 +76,21 @@ class Encoder:
                          and not splitter.add_prefix_space and splitter.use_regex)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _learn(self, seen: set[str]) -> None:
+        """Ids of pieces not known yet; what two generations have not seen is forgotten."""
         if len(self.known) + len(seen) > CACHE_WORDS:
-            self.known = {}
-        new = list(seen.difference(self.known))
-        self.known.update(zip(new, self._library(new)))
+            self.known, self.older = {}, self.known
+        known, older, merge = self.known, self.older, self.tokenizer.model.tokenize
+        for piece in seen.difference(known):
+            ids = older.get(piece)
+            known[piece] = ids if ids is not None else array(
+                "I", [t.id for t in merge(piece.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         pieces = [_SPLIT.findall(t) for t in texts]
@@ -115,7 +125,8 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """A worker keeps its encoder, and the pieces it knows, from task to task."""
+    """A worker keeps its encoder, and the pieces it knows, from task to task; it has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
