@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -135,15 +136,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(c, t) for c, t in zip(zip(*rows), _PARTIAL.types)], schema=_PARTIAL)
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the copies of one partition; at most BUFFER digests are held at a time."""
+def _combine(batches: Iterator[pa.RecordBatch], buffer: int) -> Iterator[pa.RecordBatch]:
+    """Merge the copies of one partition; digests are passed on from ``buffer`` on."""
     held: dict[bytes, tuple[tuple[int, int], int]] = {}
     for batch in batches:
         for digest, top, rid in _columns(batch):
             key = (_LOWEST if top is None else top, rid)
             was = held.get(digest)
             held[digest] = (key, 1) if was is None else (_best(was[0], key), was[1] + 1)
-        if len(held) >= BUFFER:
+        if len(held) >= buffer:
             yield _batch([(d, *k, n) for d, (k, n) in held.items()])
             held = {}
     if held:
@@ -167,24 +168,24 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(k, *kept[e], sizes[e]) for e, k in enumerate(index.keys[at:at + BUFFER], at)])
 
 
-def group_copies(rows: DataFrame) -> DataFrame:
+def group_copies(rows: DataFrame, buffer: int = BUFFER) -> DataFrame:
     """Groups of equal digests: (digest, top, rid, n) of (digest, top, rid) rows.
 
     ``top`` is the largest id of the group (the lowest long for null), ``rid`` the number of
     the row that stays, ``n`` the rows of the group. A shard holds about 100 bytes a digest,
     so ``spark.sql.shuffle.partitions`` sets the memory of a task.
     """
-    return (rows.select("digest", "top", "rid").mapInArrow(_combine, _PARTIAL_DDL)
+    return (rows.select("digest", "top", "rid").mapInArrow(partial(_combine, buffer=buffer), _PARTIAL_DDL)
             .repartition("digest").mapInArrow(_index, _PARTIAL_DDL))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buffer: int = BUFFER) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(docs.select(
         F.col(id_col).cast("long").alias("top"), F.unhex(F.sha2(text, 256)).alias("digest"),
         F.monotonically_increasing_id().alias("rid")))
-    groups = group_copies(rows).select(
+    groups = group_copies(rows, buffer).select(
         "digest", F.when(F.col("top") != _LOWEST, F.col("top")).alias("keep_id"),
         F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
     return rows.join(groups, "digest").select(

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The base patterns, and the lengths from which their matches count.
@@ -34,8 +34,10 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of a run, and its least length.
 ALPHABET, RUN_LENGTH = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % RUN_LENGTH
-#: Documents of the training sample, least letters of an ordinary word, added to each count.
-SAMPLE, WORD_LENGTH, SMOOTHING = 4000, 8, 0.5
+#: Documents of the training sample, least letters of an ordinary word.
+SAMPLE, WORD_LENGTH = 4000, 8
+#: Added to each character's count; transitions weigh in the characters' shares as so many more.
+SMOOTHING, BACKOFF = 0.5, 34
 #: Thousandths of a nat from which a run is a secret: e^12 times likelier as a random string.
 THRESHOLD = 12_000
 #: Different characters that a run must have: a ruler of dashes or padding is not a secret.
@@ -121,10 +123,15 @@ def train(base: DataFrame, documents: int, sample: int = SAMPLE) -> list[int]:
     cells = base.sparkSession.range(_SIDE * _SIDE).withColumnRenamed("id", "cell")
     for label in ("random", "plain"):
         cells = cells.join(counts.filter(F.col("label") == label).select("cell", F.col("n").alias(label)), "cell", "left")
-    cells = cells.fillna(0).withColumn("previous", F.floor(F.col("cell") / _SIDE))
-    rows_of = cells.groupBy("previous").agg(F.sum("random").alias("random_row"), F.sum("plain").alias("plain_row"))
-    chance = lambda n: F.log((F.col(n) + SMOOTHING) / (F.col(f"{n}_row") + SMOOTHING * _SIDE))
-    weights = cells.join(rows_of, "previous").select("cell", F.round(1000 * (chance("random") - chance("plain"))).cast("int").alias("w"))
+    cells = cells.fillna(0).withColumn("before", F.floor(F.col("cell") / _SIDE)).withColumn("after", F.col("cell") % _SIDE)
+    rows_of = cells.groupBy("before").agg(F.sum("random").alias("random_row"), F.sum("plain").alias("plain_row"))
+    whole = Window.partitionBy()  # one row for each character
+    shares = cells.groupBy("after").agg(F.sum("random").alias("r"), F.sum("plain").alias("p")).select(
+        "after", *[((F.col(c) + SMOOTHING) / (F.sum(c).over(whole) + SMOOTHING * _SIDE)).alias(f"{name}_share")
+                   for c, name in (("r", "random"), ("p", "plain"))])
+    chance = lambda n: F.log((F.col(n) + BACKOFF * F.col(f"{n}_share")) / (F.col(f"{n}_row") + BACKOFF))
+    weights = cells.join(rows_of, "before").join(shares, "after").select(
+        "cell", F.round(1000 * (chance("random") - chance("plain"))).cast("int").alias("w"))
     return [r["w"] for r in weights.orderBy("cell").collect()]  # one for each pair of characters
 
 

@@ -204,7 +204,7 @@ class FrameReader:
         return raw
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, frame_ids: int) -> Iterator[pa.RecordBatch]:
     store = None
     task = TaskContext.get()
     name = f"part-{task.partitionId():06d}.ids.zst"
@@ -218,7 +218,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> It
                 out = store.open_output_stream(draft)
                 writer = FrameWriter(out)
             body += np.uint32(END_ID).tobytes()
-            if doc_ids and held + len(body) > 4 * FRAME_IDS:
+            if doc_ids and held + len(body) > 4 * frame_ids:
                 writer.add(doc_ids, bodies)
                 doc_ids, bodies, held = [], [], 0
             doc_ids.append(doc_id)
@@ -235,7 +235,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> It
                                      ["name", "docs", "ids"])
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+                      frame_ids: int = FRAME_IDS) -> DataFrame:
     """Write all documents to files below ``folder``; returns (name, docs, ids) of each task's file.
 
     ``folder`` is a URI that every executor reaches (file, HDFS, S3, GCS); ``tokenizer`` the path
@@ -247,7 +248,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     order = F.col("doc_id").asc_nulls_first(), F.col("hash")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return materialize(ranged.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer), "name string, docs bigint, ids bigint"))
+    return materialize(ranged.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, frame_ids=frame_ids), "name string, docs bigint, ids bigint"))
 
 
 def _frames(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -312,9 +313,9 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: tuple[int, int]
     return rows if doc_ids is None else rows.filter(F.col("doc_id").between(*doc_ids))
 
 
-def token_digests(docs: DataFrame, tokenizer: str, **columns: str) -> DataFrame:
+def token_digests(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write, read back, and return doc_id, start, n_tokens, ids_crc32 of every document."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_token_files(docs, folder, tokenizer, **columns)
+    write_token_files(docs, folder, tokenizer, **options)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -137,7 +137,7 @@ def _decoded(payload: bytes, http: dict[str, str]) -> str:
 
 def visible_text(page: str) -> str:
     """The text of an HTML page, one line for each block that has any."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page))))
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("", page))))
     return "\n".join(line for raw in text.split("\n") if (line := " ".join(raw.split())))
 
 
@@ -161,7 +161,7 @@ def derive(raw: bytes) -> list[tuple]:
     fields += [(f"http-{n}", v) for n, v in http_headers]
     fields.append(("computed-payload-digest", actual))
     if is_html:
-        clean = _DROPPED.sub(" ", page)
+        clean = _DROPPED.sub("", page)
         if title := _TITLE.search(clean):
             fields.append(("title", html.unescape(_TAG.sub("", title[1]))))
         if language := _LANGUAGE.search(clean):
