@@ -3,13 +3,14 @@
 The patterns give the base spans. The method scores every further run of token characters: one
 first-order model of random strings, one of ordinary identifiers, and the sum over the run of the
 log-likelihood ratios of its transitions (in thousandths, whole numbers, so that sums are exact).
-A run is a secret if that sum reaches ``THRESHOLD``, it has
+A run is a secret if that sum reaches ``THRESHOLD`` for each character, it has
 ``DIFFERENT`` different characters or more, and it overlaps no base span.
 
 Training: the random class has the secrets that the patterns label, in all documents, and for
 each document of a sample a random string made from its id; the ordinary class has the words of
-that sample, as far as the patterns found nothing there. The sample is bounded: documents whose
-hash is below ``SAMPLE / number of documents``. The models have 68 x 68 cells, whatever the input.
+that sample, as far as they are too short to be scored and the patterns found nothing there. The
+sample is bounded: documents whose hash is below ``SAMPLE / number of documents``. The models have
+68 x 68 cells, whatever the input.
 
 Everything is a DataFrame expression: positions come from the lengths of what lies between
 matches, summed in blocks. Raw secrets are not written anywhere, only their positions are.
@@ -34,12 +35,12 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of a run, and its least length.
 ALPHABET, RUN_LENGTH = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % RUN_LENGTH
-#: Documents of the training sample, least letters of an ordinary word.
+#: Documents of the training sample, least characters of an ordinary word.
 SAMPLE, WORD_LENGTH = 4000, 8
 #: Added to each character's count; transitions weigh in the characters' shares as so many more.
 SMOOTHING, BACKOFF = 0.5, 34
-#: Thousandths of a nat from which a run is a secret: e^12 times likelier as a random string.
-THRESHOLD = 12_000
+#: Thousandths of a nat for each character from which a run is a secret: e times likelier each.
+THRESHOLD = 1_000
 #: Different characters that a run must have: a ruler of dashes or padding is not a secret.
 DIFFERENT = 8
 _SIDE = len(ALPHABET) + 1
@@ -112,7 +113,7 @@ def train(base: DataFrame, documents: int, sample: int = SAMPLE) -> list[int]:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     chosen = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") < F.lit(sample * (1 << 32) // max(documents, 1))
     made = F.base64(F.unhex(F.sha2(name, 256)))
-    words = F.filter(F.split("text", r"[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) >= WORD_LENGTH)
+    words = F.filter(F.split("text", r"[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w).between(WORD_LENGTH, RUN_LENGTH - 1))
     rows = base.select(F.concat(F.col("values"), F.when(chosen, F.array(made)).otherwise(F.array().cast("array<string>"))).alias("random"),
                        F.when(chosen & (F.size("values") == 0), words).otherwise(F.array().cast("array<string>")).alias("plain"))
     counts = None
@@ -146,7 +147,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      F.regexp_extract_all("text", F.lit(RUN), 0).alias("runs"))
     df = df.select("doc_id", "assign", "access", "hex", "base", _spans(F.col("text"), F.col("runs"), RUN, 3).alias("runs"))
     added = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
-                     & (F.size(F.array_distinct(F.split(r["value"], ""))) >= DIFFERENT) & (score(r["value"]) >= threshold))
+                     & (F.size(F.array_distinct(F.split(r["value"], ""))) >= DIFFERENT) & (score(r["value"]) >= threshold * F.length(r["value"])))
     narrow = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["stop"])))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     listed = lambda spans: F.array_join(F.transform(narrow(spans), lambda s: F.concat_ws(
