@@ -105,9 +105,9 @@ class _Gates:
             return "_long_word"
         if not rule.keywords:
             return None
-        if rule.ignores_case:
-            return any_of(self._test("_lower", k.lower()) for k in rule.keywords)
-        return any_of(self._test("_text", k) for k in rule.keywords)
+        if rule.exact_keywords and not rule.ignores_case:
+            return any_of(self._test("_text", k) for k in rule.keywords)
+        return any_of(self._test("_lower", k.lower()) for k in rule.keywords)
 
     def character_tests(self) -> list[str]:
         return [f"contains({side}, {lit(char)}) AS {column}"
@@ -135,8 +135,10 @@ def _pieces(rule: Rule, index: int, found: str) -> str:
     if group == 0:
         lead, value = f"array_repeat('', size({found}))", found
     else:
-        lead = f"regexp_extract_all(_text, {pattern}, 1)"
-        if rule.suffix:
+        lead, *more = (f"regexp_extract_all(_text, {pattern}, {g})" for g in rule.lead_groups)
+        for part in more:
+            lead = f"zip_with({lead}, {part}, (a, b) -> concat(a, b))"
+        if rule.suffix or rule.wrapped:
             value = f"regexp_extract_all(_text, {pattern}, {group})"
         else:
             value = f"zip_with({found}, {lead}, (m, p) -> substring(m, length(p) + 1))"

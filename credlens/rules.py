@@ -19,8 +19,12 @@ from importlib import resources
 from pathlib import Path
 from typing import Any
 
+from credlens.dialect import DialectError, least_width, to_java
 from credlens.schema import SEVERITIES
 
+# Private-use characters that mark where a part of a rule begins and ends while it is translated.
+_LEFT, _RIGHT = "\ue000", "\ue001"
+
 ENTROPY_RULE_ID = "high_entropy_string"
 
 
@@ -40,34 +44,58 @@ class Rule:
     min_entropy: float | None = None
     verifier: str | None = None
     keywords: tuple[str, ...] = ()
+    #: Keywords are searched as they are written; otherwise in either case.
+    exact_keywords: bool = False
+    #: A whole regex, for a value that does not stand at the top level: see ``wrap_capture``.
+    wrapped: str = ""
+    lead_groups: tuple[int, ...] = (1,)
+    group: int = 0
+
+    @property
+    def source(self) -> str:
+        """The regex as written, with groups around prefix and value, in Python's dialect."""
+        if self.wrapped:
+            return self.flags + self.wrapped
+        if not self.prefix and not self.suffix:
+            return self.flags + self.secret
+        return f"{self.flags}(?:{self.prefix})({self.secret})(?:{self.suffix})"
 
     @cached_property
     def pattern(self) -> str:
-        """Regex text. Without a prefix and suffix the value is the whole match."""
+        """The regex for Spark. Without a prefix and suffix the value is the whole match."""
+        if self.wrapped:  # backreferences are numbered for the wrapped form already
+            return "(?d)" + to_java(self.flags + self.wrapped)
         if not self.prefix and not self.suffix:
-            return self.flags + self.secret
-        suffix = f"(?:{self.suffix})" if self.suffix else ""
-        return f"{self.flags}({self.prefix})({self.secret}){suffix}"
+            return "(?d)" + to_java(self.flags + self.secret)
+        # The group around the prefix comes first, so every other group's number grows by one.
+        marked = to_java(f"{self.flags}{_LEFT}{self.prefix}{_RIGHT}({self.secret}){_LEFT}{self.suffix}{_RIGHT}", 1)
+        lead, rest = marked.split(_RIGHT, 1)
+        value, tail = rest.rsplit(_LEFT, 1)
+        suffix = f"(?:{tail[:-1]})" if self.suffix else ""
+        return "(?d)" + lead.replace(_LEFT, "(", 1) + ")" + value + suffix
 
     @property
     def value_group(self) -> int:
-        """Group that holds the value (0: whole match); the prefix is always group 1."""
+        """Group that holds the value (0: whole match)."""
+        if self.wrapped:
+            return self.group
         if not self.prefix and not self.suffix:
             return 0
         return 2 + re.compile(self.flags + (self.prefix or "")).groups
 
     @property
     def ignores_case(self) -> bool:
-        return re.search(r"\(\?[a-zA-Z]*i", self.pattern) is not None
+        return re.search(r"\(\?[a-zA-Z]*i", self.source) is not None
 
     def check(self) -> None:
         if self.severity not in SEVERITIES:
             raise RulePackError(f"{self.rule_id}: unknown severity {self.severity!r}")
         try:
-            compiled = re.compile(self.pattern)
-        except re.error as exc:
+            re.compile(self.source)
+            _ = self.pattern
+        except (re.error, DialectError) as exc:
             raise RulePackError(f"{self.rule_id}: bad regex: {exc}") from exc
-        if compiled.search("") is not None:
+        if not least_width(self.source):
             raise RulePackError(f"{self.rule_id}: the regex can match empty text")
 
 
@@ -81,14 +109,17 @@ class Allowlist:
     def __post_init__(self) -> None:
         for pattern in (*self.value_patterns, *self.path_patterns):
             try:
-                re.compile(pattern)
-            except re.error as exc:
+                to_java(pattern)
+            except (re.error, DialectError) as exc:
                 raise RulePackError(f"allowlist: bad regex {pattern!r}: {exc}") from exc
 
     @staticmethod
     def _any_of(patterns: Iterable[str]) -> str | None:
-        parts = [f"(?:{p})" for p in patterns]
-        return "(?i)(?:" + "|".join(parts) + ")" if parts else None
+        parts, groups = [], 0
+        for p in patterns:
+            parts.append(f"(?:{to_java(p, groups)})")
+            groups += re.compile(p).groups
+        return "(?id)(?:" + "|".join(parts) + ")" if parts else None
 
     @property
     def value_regex(self) -> str | None:
@@ -159,6 +190,65 @@ def split_capture(regex: str, capture: int) -> tuple[str, str, str, str] | None:
     return flags, regex[:start], regex[start + 1:end - 1], regex[end:]
 
 
+def wrap_capture(regex: str, capture: int) -> tuple[str, str, tuple[int, ...], int] | None:
+    """(flags, regex, lead groups, value group) for a capture group inside other groups.
+
+    At every level the stretch before the group that holds the value gets a group of its own;
+    the stretches' lengths add up to the value's offset. Backreferences are renumbered. None if
+    one of the enclosing groups is repeated or looks around, or if the way leads through an
+    alternative, as the value may then be missing or stand elsewhere.
+    """
+    flags = ""
+    lead = _LEADING_FLAGS.match(regex)
+    if lead:
+        flags, regex = lead.group(0), regex[lead.end():]
+    opened: list[list] = []  # start of the body, number, alternatives inside
+    whole = [0, None, False]
+    way: list[list] | None = None
+    closed: dict[int, int] = {}
+    number = 0
+    for token in _TOKEN.finditer(regex):
+        text, at = token.group(0), token.start()
+        if text == "|":
+            (opened[-1] if opened else whole)[2] = True
+        elif text == "(":
+            ahead = regex[at + 1:at + 4]
+            takes = not ahead.startswith("?") or ahead.startswith("?P<")
+            plain = takes or ahead.startswith("?:")
+            number += takes
+            body = regex.index(">", at) + 1 if ahead.startswith("?P<") else at + (1 if takes else 3)
+            opened.append([body, number if takes else None, False, at, plain])
+            if takes and number == capture:
+                way = list(opened)
+        elif text == ")":
+            closed[opened.pop()[3]] = token.end()
+    if way is None or whole[2] or any(w[2] for w in way[:-1]) or not all(w[4] for w in way):
+        return None
+    if any(regex[closed[w[3]]:closed[w[3]] + 1] in {"?", "*", "+", "{"} for w in way):
+        return None
+    # Starts and ends of the stretches, then the regex with them wrapped.
+    starts = [0, *[w[0] for w in way[:-1]]]
+    stops = [w[3] for w in way]
+    places = sorted([(a, "(") for a in starts] + [(b, ")") for b in stops], key=lambda p: (p[0], p[1] == ")"))
+    wrapped, last = [], 0
+    for at, mark in places:
+        wrapped += [regex[last:at], mark]
+        last = at
+    text = "".join(wrapped) + regex[last:]
+    # Where each new group comes in the order of opening brackets gives the new numbers.
+    kinds = sorted([(a, 0, "new") for a in starts] + [(t.start(), 1, "old") for t in _TOKEN.finditer(regex)
+                   if t.group(0) == "(" and (regex[t.start() + 1:t.start() + 2] != "?" or regex[t.start() + 1:t.start() + 4] == "?P<")])
+    old = {}
+    leads = []
+    for place, (_, _, kind) in enumerate(kinds, 1):
+        if kind == "new":
+            leads.append(place)
+        else:
+            old[len(old) + 1] = place
+    text = re.sub(r"(\\\\)|\\([1-9][0-9]?)", lambda m: m[0] if m[1] else f"(?:\\{old[int(m[2])]})", text)
+    return flags, text, tuple(leads), old[capture]
+
+
 def _rule_from(entry: Mapping[str, Any]) -> Rule:
     common = {
         "rule_id": entry["id"],
@@ -167,12 +257,12 @@ def _rule_from(entry: Mapping[str, Any]) -> Rule:
         "min_entropy": None if entry.get("min_entropy") is None else float(entry["min_entropy"]),
         "verifier": entry.get("verifier"),
         "keywords": tuple(entry.get("keywords", ())),
+        "exact_keywords": bool(entry.get("exact_keywords", False)),
     }
     if "secret" in entry:
         return Rule(secret=entry["secret"], prefix=entry.get("prefix", ""),
                     suffix=entry.get("suffix", ""), **common)
-    # Java writes named groups differently; the name itself is never used.
-    regex = re.sub(r"\(\?P<\w+>", "(", entry["regex"])
+    regex = entry["regex"]
     capture = int(entry.get("capture", 0))
     try:
         groups = re.compile(regex).groups
@@ -183,13 +273,17 @@ def _rule_from(entry: Mapping[str, Any]) -> Rule:
     if capture > groups:
         raise RulePackError(f"{entry['id']}: no group {capture}")
     parts = split_capture(regex, capture)
-    if parts is None:
+    if parts is not None:
+        flags, prefix, secret, suffix = parts
+        return Rule(flags=flags, prefix=prefix, secret=secret, suffix=suffix, **common)
+    nested = wrap_capture(regex, capture)
+    if nested is None:
         raise RulePackError(
-            f"{entry['id']}: group {capture} must stand at the top level of the regex; "
-            "use credlens.operators.custom.detect_with_python for other shapes"
+            f"{entry['id']}: group {capture} is repeated, optional or one of several alternatives; "
+            "use credlens.operators.custom.detect_with_python for such a rule"
         )
-    flags, prefix, secret, suffix = parts
-    return Rule(flags=flags, prefix=prefix, secret=secret, suffix=suffix, **common)
+    flags, wrapped, leads, group = nested
+    return Rule(secret=regex, flags=flags, wrapped=wrapped, lead_groups=leads, group=group, **common)
 
 
 def parse_rule_pack(raw: Mapping[str, Any]) -> RulePack:
