@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,10 +88,13 @@ class Encoder:
         if len(self.known) + len(seen) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         known, older, merge = self.known, self.older, self.tokenizer.model.tokenize
-        for piece in seen.difference(known):
+        new = list(seen.difference(known))
+        shown = b"\xff".join([p.encode() for p in new]).decode("latin-1")  # a byte that UTF-8 does not use
+        for byte, visible in _VISIBLE.items():
+            shown = shown.replace(chr(byte), visible)
+        for piece, written in zip(new, shown.split("\xff")):
             ids = older.get(piece)
-            known[piece] = ids if ids is not None else array(
-                "I", [t.id for t in merge(piece.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+            known[piece] = array("I", [t.id for t in merge(written)]).tobytes() if ids is None else ids
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         pieces = [_SPLIT.findall(t) for t in texts]
@@ -266,7 +270,7 @@ def _frames(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
                 ["name", "size", "place", "frame", "base", "ids", "first", "last"])
 
 
-def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], folder: str, digest: bool) -> Iterator[pa.RecordBatch]:
     store, root = fs.FileSystem.from_uri(folder)
     open_name, reader = None, None
     for batch in batches:
@@ -275,9 +279,10 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
                 open_name, reader = name, FrameReader(store.open_input_file(f"{root}/{name}"), size)
             rows = list(unpack_frame(reader.frame(frame)))
             counts = np.array([len(b) // 4 for _, b in rows], np.int64)
+            last = pa.array([zlib.crc32(b) for _, b in rows], pa.int64()) if digest else pa.array([b for _, b in rows], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in rows], pa.int64()), pa.array(start + np.cumsum(counts) - counts), pa.array(counts),
-                 pa.array([b for _, b in rows], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                [pa.array([d for d, _ in rows], pa.int64()), pa.array(start + np.cumsum(counts) - counts), pa.array(counts), last],
+                ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
 
 def frame_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,16 +305,19 @@ def frame_table(spark: SparkSession, folder: str) -> DataFrame:
         "name", "size", "frame", (F.col("before") + F.col("base")).alias("start"), "ids", "first", "last")
 
 
-def read_token_files(spark: SparkSession, folder: str, doc_ids: tuple[int, int] | None = None) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, doc_ids: tuple[int, int] | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document; ``ids`` are little-endian u32 bytes.
 
+    With ``digest`` their CRC-32, as ids_crc32, stands in for the ids.
+
     With ``doc_ids`` (first, last) only frames that can hold such documents are decompressed.
     """
     frames = frame_table(spark, folder)
     if doc_ids is not None:
         frames = frames.filter((F.col("first") <= doc_ids[1]) & (F.col("last") >= doc_ids[0]))
     rows = (frames.select("name", "size", "frame", "start").repartition("name", "frame").sortWithinPartitions("name", "frame")
-            .mapInArrow(partial(_read, folder=folder), "doc_id bigint, start bigint, n_tokens bigint, ids binary"))
+            .mapInArrow(partial(_read, folder=folder, digest=digest),
+                        "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary")))
     return rows if doc_ids is None else rows.filter(F.col("doc_id").between(*doc_ids))
 
 
@@ -318,4 +326,4 @@ def token_digests(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     write_token_files(docs, folder, tokenizer, **options)
-    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, folder, digest=True)
