@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts that one generation of a worker's memory holds, and the longest that it holds.
-MEMORY, LONGEST = 500_000, 64
+MEMORY, LONGEST = 250_000, 64
 #: Characters after which convergence is looked for, in longest pieces.
 LOOK = 4
 # Field numbers and enumerations of the model file.
@@ -141,7 +141,7 @@ class Model:
         found = self.merged.get(key)
         if found is None:
             if len(self.merged) > MEMORY:
-                self.merged = {}
+                self.merged.clear()
             joined = before + piece
             if before and before[-1] + piece[0] not in self.pairs:
                 found = self.follows("", piece)
@@ -151,74 +151,89 @@ class Model:
         return found
 
     def _spell(self, piece: str) -> list[int]:
-        number = self.ids.get(piece)
-        if number is not None:
-            return [number]
+        """Of a character outside the vocabulary."""
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
 
     def search(self, text: str) -> Iterator[int]:
         """Ids of a text of any length; what is final is given out while the search goes on."""
         unigram, ids, scores, prefixes = self.kind == _UNIGRAM, self.ids, self.scores, self.prefixes
-        n, longest = len(text), self.longest
-        value: dict[int, float | str] = {0: 0.0 if unigram else ""}
-        back: dict[int, int] = {}
-        done, look = 0, LOOK * longest
+        merged, least = self.merged, self.least
+        n, longest, done = len(text), self.longest, 0
+        # Of boundary done + i: the path's score or last piece (None: not reached), and the boundary before.
+        value: list = [0.0 if unigram else "", *[None] * min(n, longest)]
+        back = [0] * len(value)
+        look = LOOK * longest
         for start in range(n):
-            here = value.get(start)
+            here = value[start - done]
             if here is None:
                 continue
-            for end in range(start + 1, min(n, start + longest) + 1):
+            stop = min(n, start + longest)
+            if stop - done >= len(value):
+                grow = stop - done + 1 - len(value)
+                value += [None] * grow
+                back += [0] * grow
+            for end in range(start + 1, stop + 1):
                 piece = text[start:end]
-                if piece in ids or end - start == 1:
+                if piece in ids:
+                    at = end - done
                     if unigram:
-                        score = here + scores.get(piece, self.least)
-                        if end not in value or score > value[end]:
-                            value[end], back[end] = score, start
-                    elif piece not in ids:
-                        value[end], back[end] = "", start
-                    elif end not in value and self.follows(here, piece):
-                        value[end], back[end] = piece, start
+                        score = here + scores[piece]
+                        if value[at] is None or score > value[at]:
+                            value[at], back[at] = score, start
+                    elif value[at] is None and (merged.get((here, piece)) or self.follows(here, piece)):
+                        value[at], back[at] = piece, start
+                elif end - start == 1:
+                    at = end - done
+                    if not unigram or value[at] is None or here + least > value[at]:
+                        value[at], back[at] = here + least if unigram else "", start
                 if piece not in prefixes:
                     break
             if start - done >= look:
-                stop = self._converged(back, [b for b in range(start - longest + 1, start + 1) if b in value], done)
-                if stop > done:
-                    yield from self._path(text, back, done, stop)
-                    for old in range(done, stop):
-                        value.pop(old, None)
-                        back.pop(old, None)
-                    back.pop(stop)
-                    done = stop
+                final = self._converged(value, back, range(start - longest + 1, start + 1), done)
+                if final > done:
+                    yield from self._path(text, back, done, final, done)
+                    del value[:final - done], back[:final - done]
+                    done = final
                 look = start - done + longest
-        yield from self._path(text, back, done, n)
+        yield from self._path(text, back, done, n, done)
 
     @staticmethod
-    def _converged(back: dict[int, int], ends: list[int], done: int) -> int:
+    def _converged(value: list, back: list[int], ends: range, done: int) -> int:
         """The latest boundary through which the paths of all ends go."""
-        open_ends = set(ends)
+        open_ends = {b for b in ends if value[b - done] is not None}
         while len(open_ends) > 1:
             last = max(open_ends)
             open_ends.remove(last)
-            open_ends.add(back.get(last, done))
+            open_ends.add(back[last - done])
         return open_ends.pop() if open_ends else done
 
-    def _path(self, text: str, back: dict[int, int], start: int, end: int) -> list[int]:
+    def _path(self, text: str, back: list[int], start: int, end: int, done: int) -> list[int]:
         pieces = []
         while end > start:
-            pieces.append(text[back[end]:end])
-            end = back[end]
-        return [i for piece in reversed(pieces) for i in self._spell(piece)]
+            before = back[end - done]
+            pieces.append(text[before:end])
+            end = before
+        found = []
+        for piece in reversed(pieces):
+            number = self.ids.get(piece)
+            if number is not None:
+                found.append(number)
+            else:
+                found += self._spell(piece)
+        return found
 
     def _part(self, part: str) -> bytes:
         """Ids of a part, cut once more where no piece goes over two characters."""
-        out, start = [], 0
-        for i in range(1, len(part) + 1):
-            if i == len(part) or part[i - 1:i + 1] not in self.pairs:
+        pairs, n, out, start = self.pairs, len(part), [], 0
+        for i in range(1, n + 1):
+            if i == n or part[i - 1:i + 1] not in pairs:
+                if i - start == n:
+                    return _packed(self.search(part))
                 word = part[start:i]
-                ids = self.known.get(word) if i - start < len(part) else None
+                ids = self.known.get(word) or self.older.get(word)
                 if ids is None:
                     ids = _packed(self.search(word))
-                    if i - start < len(part) and len(word) <= LONGEST:
+                    if i - start <= LONGEST:
                         self.known[word] = ids
                 out.append(ids)
                 start = i
