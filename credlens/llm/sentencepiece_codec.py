@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts that one generation of a worker's memory holds, and the longest that it holds.
-MEMORY, LONGEST = 250_000, 64
+MEMORY, LONGEST = 350_000, 64
 #: Characters after which convergence is looked for, in longest pieces.
 LOOK = 4
 # Field numbers and enumerations of the model file.
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
+# A string begins longer pieces, is a piece, or both.
+_PREFIX, _WHOLE, _BOTH = 1, 2, 3
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,7 +98,8 @@ class Model:
             raise ValueError("only unigram and byte-pair models with the identity normalizer are read")
         self.longest = max(map(len, self.ids))
         self.least = min(self.scores.values()) - 10
-        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
+        prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
+        self.kinds = dict.fromkeys(prefixes, _PREFIX) | {p: _BOTH if p in prefixes else _WHOLE for p in self.ids}
         self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.output = [t.encode() for t in self.texts]
         for byte, number in self.bytes.items():
@@ -156,8 +159,7 @@ class Model:
 
     def search(self, text: str) -> Iterator[int]:
         """Ids of a text of any length; what is final is given out while the search goes on."""
-        unigram, ids, scores, prefixes = self.kind == _UNIGRAM, self.ids, self.scores, self.prefixes
-        merged, least = self.merged, self.least
+        unigram, scores, kinds, merged, least = self.kind == _UNIGRAM, self.scores, self.kinds, self.merged, self.least
         n, longest, done = len(text), self.longest, 0
         # Of boundary done + i: the path's score or last piece (None: not reached), and the boundary before.
         value: list = [0.0 if unigram else "", *[None] * min(n, longest)]
@@ -174,20 +176,25 @@ class Model:
                 back += [0] * grow
             for end in range(start + 1, stop + 1):
                 piece = text[start:end]
-                if piece in ids:
+                kind = kinds.get(piece)
+                if end - start == 1 and (kind is None or kind == _PREFIX):  # a character outside the vocabulary
+                    at = end - done
+                    if not unigram or value[at] is None or here + least > value[at]:
+                        value[at], back[at] = here + least if unigram else "", start
+                if kind is None:
+                    break
+                if kind != _PREFIX:
                     at = end - done
                     if unigram:
                         score = here + scores[piece]
                         if value[at] is None or score > value[at]:
                             value[at], back[at] = score, start
-                    elif value[at] is None and (merged.get((here, piece)) or self.follows(here, piece)):
-                        value[at], back[at] = piece, start
-                elif end - start == 1:
-                    at = end - done
-                    if not unigram or value[at] is None or here + least > value[at]:
-                        value[at], back[at] = here + least if unigram else "", start
-                if piece not in prefixes:
-                    break
+                    elif value[at] is None:
+                        fits = merged.get((here, piece))
+                        if self.follows(here, piece) if fits is None else fits:
+                            value[at], back[at] = piece, start
+                    if kind == _WHOLE:
+                        break
             if start - done >= look:
                 final = self._converged(value, back, range(start - longest + 1, start + 1), done)
                 if final > done:
