@@ -13,6 +13,7 @@ from credlens.schema import SEVERITIES
 
 PREVIEW_MASK_ALL = 8             # values up to this length are shown as stars only
 FINGERPRINT_HEX_CHARS = 16
+CHARACTERS = 0x110000            # how many different characters a text can have
 
 
 def lit(value: str | float | int | None) -> str:
@@ -61,13 +62,19 @@ def fingerprint(rule_id: str, secret: str, path: str) -> str:
 def shannon_entropy(text: str) -> str:
     """Entropy in bits per character; 0 for the empty string.
 
-    The sum is rounded to 12 digits so that values which are exact binary fractions in
-    theory (4.0, 4.125, ...) are exact here too, whatever the order of summation.
+    Takes the first character, counts it by how much shorter the text is without it, and goes
+    on with what is left: as many literal replaces as there are different characters, and never
+    an array of characters, so a token may be as long as a text. The sum is rounded to 12
+    digits so that values which are exact binary fractions in theory (4.0, 4.125, ...) are exact
+    here too, whatever the order of summation.
     """
-    share = (f"transform(array_distinct(split({text}, '')), "
-             f"ch -> (length({text}) - length(replace({text}, ch, ''))) / length({text}))")
-    total = f"aggregate({share}, 0D, (acc, p) -> acc + p * log2(p))"
-    return f"if({text} = '', 0D, abs(round({total}, 12)))"
+    share = "((length(acc.rest) - length(left)) / n)"
+    step = bind("left", "replace(acc.rest, substring(acc.rest, 1, 1), '')", (
+        f"named_struct('rest', left, 'total', acc.total + {share} * log2({share}))"))
+    turns = f"sequence(1, least(n, {CHARACTERS}))"
+    total = (f"aggregate({turns}, named_struct('rest', t, 'total', 0D), "
+             f"(acc, i) -> if(acc.rest = '', acc, {step}), acc -> abs(round(acc.total, 12)))")
+    return bind("t", text, f"if(t = '', 0D, {bind('n', 'length(t)', total)})")
 
 
 def newline_count(text: str) -> str:

@@ -36,7 +36,8 @@ ENTROPY_LENGTH = 24
 
 # Matches are summed in blocks, so that growing the result arrays stays linear.
 BLOCK = 256
-HIT = "struct<line:int,column:int,secret:string,one_line:boolean>"
+ENTROPIES = "_entropies"  # of the entropy detector's tokens
+HIT = "struct<line:int,column:int,secret:string,one_line:boolean,entropy:double>"
 
 
 def entropy_rule(minimum: float = ENTROPY_MINIMUM) -> Rule:
@@ -142,25 +143,25 @@ def _pieces(rule: Rule, index: int, found: str) -> str:
             value = f"regexp_extract_all(_text, {pattern}, {group})"
         else:
             value = f"zip_with({found}, {lead}, (m, p) -> substring(m, length(p) + 1))"
-    wanted = f"size({found}) > 0"
-    if rule.rule_id == ENTROPY_RULE_ID:
-        wanted += (f" AND exists({found}, t -> {mixed_alphabet('t')} "
-                   f"AND {tx.shannon_entropy('t')} >= {lit(rule.min_entropy)})")
+    wanted, entropies = f"size({found}) > 0", "cast(array() AS array<double>)"
+    if rule.rule_id == ENTROPY_RULE_ID:  # computed once, and carried to the hit
+        wanted = f"exists({ENTROPIES}, e -> e >= {lit(rule.min_entropy)})"
+        entropies = ENTROPIES
     return (f"if({wanted}, named_struct('rule', {index}, 'gap', {_gaps(pattern, found)}, "
-            f"'match', {found}, 'lead', {lead}, 'value', {value}), NULL)")
+            f"'match', {found}, 'lead', {lead}, 'value', {value}, 'entropy', {entropies}), NULL)")
 
 
 def _measured(pieces: str) -> str:
     """One struct per match: value plus the newlines and tails of the text around it."""
-    zipped = (f"filter(arrays_zip({pieces}.gap, {pieces}.match, {pieces}.lead, {pieces}.value), "
+    zipped = (f"filter(arrays_zip({pieces}.gap, {pieces}.match, {pieces}.lead, {pieces}.value, {pieces}.entropy), "
               "z -> z.match IS NOT NULL)")
     spans = f"""transform({zipped}, z -> named_struct(
-        'secret', z.value,
+        'secret', z.value, 'entropy', z.entropy,
         'one_line', NOT contains(z.match, '\\n'),
         'before', if(z.lead = '', z.gap, concat(z.gap, z.lead)),
         'after', substring(z.match, length(z.lead) + 1)))"""
     return f"""transform({spans}, s -> named_struct(
-        'secret', s.secret, 'one_line', s.one_line,
+        'secret', s.secret, 'entropy', s.entropy, 'one_line', s.one_line,
         'nl_before', {tx.newline_count('s.before')}, 'tail_before', {tx.tail_length('s.before')},
         'nl_after', {tx.newline_count('s.after')}, 'tail_after', {tx.tail_length('s.after')}))"""
 
@@ -178,7 +179,7 @@ def _placed(measured: str) -> str:
         'column', {tx.column_after(f'({column})', 'm.nl_after', 'm.tail_after')},
         'hits', concat(acc.hits, array(named_struct(
             'line', acc.line + m.nl_before, 'column', {column},
-            'secret', m.secret, 'one_line', m.one_line))))"""
+            'secret', m.secret, 'one_line', m.one_line, 'entropy', m.entropy))))"""
     one_block = f"""aggregate(block,
         named_struct('line', st.now.line, 'column', st.now.column, 'hits', {none}),
         (acc, m) -> {step})"""
@@ -259,6 +260,9 @@ def detect(
         for i, (rule, name) in enumerate(zip(rules, found, strict=True))
     ])
 
+    if entropy:
+        score = f"if({mixed_alphabet('t')}, {tx.shannon_entropy('t')}, 0D)"
+        matched = matched.selectExpr("*", f"transform({found[-1]}, t -> {score}) AS {ENTROPIES}")
     any_match = any_of(f"coalesce(size({name}) > 0, false)" for name in found)
     pragma = f"if({any_match}, {pragma_lines('_text')}, NULL)" if pragmas else "cast(NULL AS array<boolean>)"
     pieces = ", ".join(_pieces(rule, i, name)
@@ -276,7 +280,7 @@ def detect(
     scored = f"""transform(filter({hits}, h -> {' AND '.join(wanted)}), h -> named_struct(
         'rule', p.rule, 'line', h.line, 'column', h.column, 'secret', h.secret,
         'one_line', h.one_line,
-        'entropy', if({minimum} IS NULL, NULL, {tx.shannon_entropy('h.secret')})))"""
+        'entropy', if({minimum} IS NULL, NULL, coalesce(h.entropy, {tx.shannon_entropy('h.secret')}))))"""
     survivors = f"filter({scored}, h -> h.entropy IS NULL OR h.entropy >= {minimum})"
     if dedup:
         survivors = _first_per_value(survivors)

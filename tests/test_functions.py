@@ -74,3 +74,12 @@ def test_sql_functions(spark):
                     "severity_rank('high') AS r, fingerprint('r', 's', 'p') AS f").first()
     assert (row.p, row.h, row.r) == ("1234…89 (9 chars)", 2.0, 3)
     assert row.f == hashlib.sha256(b"r:s:p").hexdigest()[:16]
+
+
+def test_entropy_of_long_values(spark):
+    """One token as long as a text: no array of characters, and the same number as by counting."""
+    rows = [(0, "ab" * 1_000_000), (1, "".join(map(chr, range(0x4E00, 0x4E00 + 500))) * 3), (2, ""), (3, "aaaa"), (4, "é🎉é🎉abab")]
+    got = {r.i: r.h for r in spark.createDataFrame(rows, "i int, t string").selectExpr("i", f"{tx.shannon_entropy('t')} AS h").collect()}
+    for i, text in rows:
+        shares = [text.count(c) / len(text) for c in set(text)]
+        assert abs(got[i] + sum(p * math.log2(p) for p in shares)) < 1e-9
