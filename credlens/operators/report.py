@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credlens.functions import text as tx
 from credlens.functions.text import lit
-from credlens.operators.compliance import CONTROLS, TITLES, rule_class
+from credlens.operators.compliance import CONTROLS, FRAMEWORKS, TITLES, rule_class
 from credlens.schema import SEVERITIES, VERIFICATION_STATES
 
 
@@ -59,8 +59,9 @@ def report_summary(
     """The report without its findings, as one nested row.
 
     The findings are read once, by (severity, verification, rule class): at most 60 rows,
-    from which all maps and the control list are built. The counters of the scan come from
-    its observation.
+    from which all maps and the control list are built. Every finding maps to a control, so
+    ``findings_mapped`` is their number; ``frameworks`` counts the implicated controls of each
+    framework, also of those that have none. The counters of the scan come from its observation.
     """
     cells = findings.groupBy("severity", "verification", F.expr(rule_class()).alias("rule_class")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -87,7 +88,12 @@ def report_summary(
         f"{as_map('severity', tuple(reversed(SEVERITIES)))} AS by_severity",
         f"{as_map('verification', VERIFICATION_STATES)} AS by_verification",
         f"filter(array({controls}), c -> c.n > 0) AS compliance",
-    ).withColumn("controls_implicated", F.size("compliance"))
+    ).withColumns({
+        "controls_implicated": F.size("compliance"),
+        "findings_mapped": F.col("count"),
+        "frameworks": F.expr(f"map_from_entries(transform(array({', '.join(lit(f) for f in FRAMEWORKS)}), "
+                             "f -> struct(f, size(filter(compliance, c -> c.framework = f)))))"),
+    })
 
 
 def _classes_of_controls() -> dict[tuple[str, str], list[str]]:

@@ -11,9 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlens.functions import text as tx
-from credlens.functions.sizing import broadcast_if_small
 from credlens.functions.text import lit
+from credlens.operators.detect import detect
 from credlens.rules import RulePack, default_rule_pack
 from credlens.schema import FILESYSTEM
 
@@ -37,46 +36,33 @@ def recover_secrets(
 ) -> DataFrame:
     """Find stored findings again in their documents: (fingerprint, secret_sha256).
 
-    For findings whose scan is over. Each recorded (path, line, rule) is matched once with
-    the rule's regex on that line alone, and a value counts when its fingerprint is the
-    finding's. A new scan gets the hash directly with ``detect(..., secret_hash=True)`` and
-    needs no second read of the documents.
+    For findings whose scan is over. The verifiable rules are run once more over the documents,
+    without anything that suppresses, and the narrow result meets the findings by fingerprint
+    and line: neither texts nor values are shuffled. A new scan gets the hash directly with
+    ``detect(..., secret_hash=True)`` and needs no second read of the documents.
     """
     pack = pack or default_rule_pack()
-    wanted = findings.where(is_verifiable(registered))
-    rules = [r for r in pack.rules if r.verifier in set(registered)]
-    places = wanted.select("path", "line", "rule_id").distinct()
-    paths = broadcast_if_small(places.select("path").distinct())
-    # Only documents with a finding are split into lines, and only (path, line) rows meet
-    # the findings: neither a whole text nor all findings of a path is ever in one join row.
-    lines = (
-        documents.select(F.col(path).alias("path"), F.col(content).alias("_content"))
-        .join(paths, "path", "left_semi")
-        .selectExpr("path", f"posexplode(split({tx.normalize_newlines('_content')}, '\\n')) AS (_pos, _line)")
-        .withColumn("line", F.col("_pos") + 1)
-        .join(places, ["path", "line"])
-    )
-    per_rule = " ".join(
-        f"WHEN {lit(r.rule_id)} THEN regexp_extract_all(_line, {lit(r.pattern)}, {r.value_group})"
-        for r in rules)
-    values = lines.selectExpr(
-        "path", "rule_id", f"explode_outer(CASE rule_id {per_rule} END) AS _secret",
-    ).where("_secret IS NOT NULL").selectExpr(
-        f"{tx.fingerprint('rule_id', '_secret', 'path')} AS fingerprint",
-        "sha2(_secret, 256) AS secret_sha256",
-    ).distinct()
-    return wanted.select("fingerprint").distinct().join(values, "fingerprint")
+    names = set(registered)
+    rules = [r.rule_id for r in pack.rules if r.verifier in names]
+    again = detect(documents, pack.only(*rules).without_allowlist(), path=path, content=content,
+                   pragmas=False, dedup=False, secret_hash=True)
+    hashes = again.where("secret_sha256 IS NOT NULL").select("fingerprint", "line", "secret_sha256").distinct()
+    wanted = findings.where(is_verifiable(registered)).select("fingerprint", "line").distinct()
+    return wanted.join(hashes, ["fingerprint", "line"]).select("fingerprint", "secret_sha256").distinct()
 
 
 def verification_queue(
-    findings: DataFrame, registered: Iterable[str] = REGISTERED_VERIFIERS
+    findings: DataFrame, registered: Iterable[str] = REGISTERED_VERIFIERS, pack: RulePack | None = None
 ) -> DataFrame:
     """Distinct secrets to check, with the verifier of the first finding that holds each.
 
+    First by path and place; at one place the rules go in the order of their pack.
+
     Takes findings with a ``secret_sha256`` column. The aggregation combines on the map
     side, so one secret copied everywhere is one row per task in the shuffle.
     """
-    first = F.struct("path", "line", "column", "rule_id")
+    names = ", ".join(lit(r.rule_id) for r in (pack or default_rule_pack()).rules)
+    first = F.struct("path", "line", "column", F.expr(f"array_position(array({names}), rule_id)"), "rule_id")
     return (findings.where(f"{is_verifiable(registered)} AND secret_sha256 IS NOT NULL")
             .groupBy("secret_sha256")
             .agg(F.min(F.struct(first.alias("at"), "verifier")).alias("_first"),
@@ -98,8 +84,10 @@ def apply_verification(
     Findings that cannot be checked (no registered verifier, history source, value not on
     one line) are ``skipped``. The hash column is dropped from the result.
     """
-    answers = outcomes.groupBy("secret_sha256").agg(F.max("http_status").alias("_status"))
-    joined = findings.join(broadcast_if_small(answers), "secret_sha256", "left")
+    # Of several answers for a secret, one that says it is live decides, then one that says it is not.
+    rank = F.expr("CASE WHEN http_status BETWEEN 200 AND 299 THEN 2 WHEN http_status IN (401, 403) THEN 1 ELSE 0 END")
+    answers = outcomes.groupBy("secret_sha256").agg(F.max_by("http_status", rank).alias("_status"))
+    joined = findings.join(answers, "secret_sha256", "left")
     checked = f"{is_verifiable(registered)} AND secret_sha256 IS NOT NULL"
     state = F.expr(f"CASE WHEN {checked} THEN {outcome_state('_status')} ELSE 'skipped' END")
     columns = [c for c in findings.columns if c != "secret_sha256"]

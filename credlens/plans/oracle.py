@@ -144,7 +144,12 @@ def findings_ctes(
 PLANTED = table(src.planted_columns("duckdb"))
 PATCHES = table(src.patch_columns("duckdb"))
 ACCEPTED = table(src.accepted_columns("duckdb"), where=src.ACCEPTED_WHERE)
-OUTCOMES = table(src.outcome_columns("duckdb"))
+_ANSWERS = table(src.outcome_columns("duckdb")) + " UNION ALL " + table(
+    src.outcome_columns("duckdb") | {"http_status": src.LATER_STATUS}, where=src.LATER_WHERE)
+OUTCOMES = f"""
+  SELECT secret_sha256, CASE WHEN bool_or(coalesce(http_status BETWEEN 200 AND 299, false)) THEN 200
+                             WHEN bool_or(coalesce(http_status IN (401, 403), false)) THEN 401 END AS http_status
+  FROM ({_ANSWERS}) GROUP BY secret_sha256"""
 ATTRIBUTES = "repo, commit_seq, \"commit\", author, email, date, summary"
 
 
@@ -244,6 +249,7 @@ SUMMARY = ", ".join([
 def oracle_sql() -> dict[str, str]:
     skip_dirs = ", ".join(q(s) for s in SKIP_DIRS)
     skip_ext = ", ".join(q(s) for s in SKIP_EXTENSIONS)
+    rule_order = ", ".join(q(r.rule_id) for r in default_rule_pack().rules)
     names = ", ".join(q(v) for v in REGISTERED_VERIFIERS)
     pack = default_rule_pack()
     with_paths = RulePack(pack.rules, Allowlist(pack.allowlist.value_patterns, PATH_ALLOWLIST))
@@ -325,7 +331,7 @@ WITH {planted_findings()}, {history_ctes(NON_MERGE)}
 SELECT {FINDING} FROM findings UNION ALL BY NAME SELECT {HISTORY} FROM history""",
         "verification_queue": f"""
 WITH {planted_findings()}
-SELECT secret_sha256, arg_min(verifier, (path, line, "column", rule_id)) AS verifier, count(*) AS n_findings
+SELECT secret_sha256, arg_min(verifier, (path, line, "column", list_position([{rule_order}], rule_id))) AS verifier, count(*) AS n_findings
 FROM findings WHERE verifier IN ({names}) AND secret_sha256 IS NOT NULL GROUP BY secret_sha256""",
         "recover_secrets": f"""
 WITH {planted_findings()}

@@ -190,6 +190,11 @@ def accepted_columns(engine: str) -> dict[str, str]:
 ACCEPTED_WHERE = "lang <> 'en'"
 
 
+# A second answer for the same secret: refused, out of order, or live after all.
+LATER_WHERE = "doc_id % 3 = 0"
+LATER_STATUS = "case doc_id % 4 when 0 then 401 when 1 then 500 when 2 then 204 end"
+
+
 def outcome_columns(engine: str) -> dict[str, str]:
     value = _dialect(VALUE_TO_CHECK, engine)
     return {
@@ -246,5 +251,8 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of verifiers, with further, conflicting ones for every third secret."""
     documents = read_table(spark, sf_dir, "documents")
-    return documents.select(*_derived(outcome_columns("spark")))
+    first = documents.select(*_derived(outcome_columns("spark")))
+    later = documents.where(LATER_WHERE).select(*_derived(outcome_columns("spark") | {"http_status": LATER_STATUS}))
+    return first.unionByName(later)

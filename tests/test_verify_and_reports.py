@@ -166,3 +166,11 @@ def test_counters_are_observed_in_the_same_pass(docs):
     found = scan_documents(docs(("a", AWS), ("b", "x"), ("c", None)), unique_paths=True, observation=seen)
     assert found.count() == 1
     assert seen.get == {"files_scanned": 2, "files_skipped": 1}
+
+
+def test_a_live_answer_decides(spark):
+    found = spark.createDataFrame([("f", "filesystem", "openai", s) for s in "abcd"], "rule_id string, source string, verifier string, secret_sha256 string")
+    answers = [("a", 200), ("a", 401), ("b", 200), ("b", 500), ("c", 401), ("c", 503), ("d", None), ("d", 429)]
+    outcomes = spark.createDataFrame(answers, "secret_sha256 string, http_status int")
+    rows = verify.apply_verification(found.withColumns({"key": F.col("secret_sha256"), "verification": F.lit("")}), outcomes).collect()
+    assert {r.key: r.verification for r in rows} == {"a": "valid", "b": "valid", "c": "invalid", "d": "unverified"}
