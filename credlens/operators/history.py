@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from credlens.functions.sizing import broadcast_if_small
-from credlens.functions.text import bind, lit, normalize_newlines
+from credlens.functions.sizing import broadcast_if_small, ensure_checkpoint_dir
+from credlens.functions.text import bind, lit
 from credlens.operators.dedup import first_per_fingerprint
 from credlens.operators.detect import detect
 from credlens.operators.suppress import suppress_baseline
@@ -28,7 +28,8 @@ def newest_commits(patches: DataFrame, max_commits: int | None) -> DataFrame:
 
     Only (repo, commit_seq) is ranked, first inside 64 salted groups, then over their
     survivors, so a repository with most of the commits is not one task. The result of the
-    ranking is one cut-off per repository; the patches themselves are never sorted.
+    ranking, one cut-off per repository, is written once and then measured, so the keys are
+    read once; the patches themselves are never sorted.
     """
     commits = patches.where("NOT coalesce(is_merge, false)")
     if not max_commits:
@@ -40,6 +41,9 @@ def newest_commits(patches: DataFrame, max_commits: int | None) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*group).orderBy(newest))
         salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= max_commits).drop("_rank")
     cutoff = salted.groupBy("repo").agg(F.min("commit_seq").alias("_cutoff"))
+    if not patches.isStreaming:
+        ensure_checkpoint_dir(patches.sparkSession)
+        cutoff = cutoff.checkpoint()
     return (commits.join(broadcast_if_small(cutoff), "repo")
             .where("commit_seq >= _cutoff").select(*patches.columns))
 
@@ -51,11 +55,15 @@ def _added_lines(section: str) -> str:
     text starts with ``++``; file headers can only stand before the first hunk. The pieces
     between hunk marks start with the line ranges; the piece before the first is the header.
     """
+    # Lines end with LF. A CR before it belongs to the line end, any other starts a further line
+    # of the text that has the same number in the file.
+    whole = "if(endswith(l, '\\r'), left(l, length(l) - 1), l)"
+    parts = f"if(contains(l, '\\r'), split(substring({whole}, 2), '\\r'), array(substring(l, 2)))"
     start = r"cast(regexp_extract(hunk, '^\\d+(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@', 1) AS int)"
     added = "filter(split(hunk, '\\n'), l -> startswith(l, '+'))"
     hunks = f"filter(split({section}, '\\n@@ -'), (hunk, i) -> i > 0)"
     numbered = bind("first", start, (
-        f"transform({added}, (l, i) -> named_struct('line', first + i, 'text', substring(l, 2)))"))
+        f"flatten(transform({added}, (l, i) -> transform({parts}, p -> named_struct('line', first + i, 'text', p))))"))
     return f"flatten(transform({hunks}, hunk -> {numbered}))"
 
 
@@ -63,10 +71,10 @@ def added_lines(patches: DataFrame) -> DataFrame:
     """One row per (commit, file) with added lines: ``path`` and ``added`` in file order."""
     others = [c for c in patches.columns if c != "patch"]
     sections = patches.selectExpr(
-        *others, f"explode(split({normalize_newlines('patch')}, '\\ndiff --git ')) AS _section")
+        *others, f"explode(split(patch, '\\ndiff --git ')) AS _section")
     headed = sections.selectExpr(
         *others, "_section",
-        "trim(BOTH ' \\t' FROM regexp_extract(substring_index(_section, '\\n@@ ', 1), "
+        "trim(BOTH ' \\t\\r' FROM regexp_extract(substring_index(_section, '\\n@@ ', 1), "
         f"{lit(_PATH_LINE)}, 1)) AS _target",
     ).where("_target NOT IN ('', '/dev/null')")
     return headed.selectExpr(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 COMMIT_MARK = "\x1e\x1fcommit\x1f"
 GIT_LOG_FORMAT = "%x1e%x1fcommit%x1f%H%x1f%an%x1f%ae%x1f%aI%x1f%s"
 GIT_LOG_COMMAND = (
-    "git log --all --no-merges --reverse --no-color -p --unified=0 "
+    "git -c core.quotePath=false log --all --no-merges --reverse --no-color -p --unified=0 "
     f"--format={GIT_LOG_FORMAT}"
 )
 

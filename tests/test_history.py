@@ -128,3 +128,11 @@ def test_a_real_log(spark, tmp_path):
     found = {(r.rule_id, r.line, r.summary) for r in scan_history(table).collect()}
     assert found == {("aws_access_key_id", 3, "leak secret"), ("github_pat", 1, "more | odd"),
                      ("aws_access_key_id", 1, "space")}
+
+
+def test_carriage_returns_in_added_lines(spark):
+    key = "AK" + "IA" + "QWERTYUIOPASDFGH"
+    patch = (f"diff --git a/w.txt b/w.txt\r\n--- a/w.txt\r\n+++ b/w.txt\r\n@@ -0,0 +1,3 @@\n+one\rK = {key}\r\n+two\r\n+\rthree\n")
+    rows = spark.createDataFrame([("r", 1, "c", False, patch)], "repo string, commit_seq bigint, commit string, is_merge boolean, patch string")
+    lines = [(r.path, r.line, r.text) for r in parse_patches(rows).collect()]
+    assert lines == [("w.txt", 1, "one"), ("w.txt", 1, f"K = {key}"), ("w.txt", 2, "two"), ("w.txt", 3, ""), ("w.txt", 3, "three")]
