@@ -9,44 +9,59 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 1_000_000
 BROADCAST_BYTE_LIMIT = 128 * 1024 * 1024
+#: Inputs up to this size are spread over the cores; larger ones are never shuffled for that.
+SPREAD_BYTE_LIMIT = 8 * 1024 ** 3
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate, which starts no job; exact enough for scans of files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(
     df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT
 ) -> bool:
-    """Whether ``df`` stays within both bounds; counting stops one row after ``max_rows``."""
+    """Whether ``df`` stays within both bounds.
+
+    A table whose files are small enough by the optimizer's estimate is not read for this (a
+    row takes 8 bytes at least, so the estimate bounds the rows as well). Any other is counted
+    in one aggregation that each task begins for itself: no rows are moved.
+    """
+    if estimated_bytes(df) <= min(max_bytes, 8 * max_rows):
+        return True
     width = F.lit(16 * len(df.columns))
     for name, kind in df.dtypes:
         if kind == "string":
             width = width + F.coalesce(F.octet_length(name), F.lit(0))
-    seen = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("bytes")).first()
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("bytes")).first()
     return seen.rows <= max_rows and (seen.bytes or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after measuring that ``df`` is small in rows and in bytes.
+    """Hint a broadcast only for a ``df`` that is known to be small in rows and in bytes.
 
-    Beyond the limits the frame is returned without a hint, and the join runs as a shuffled
-    join that AQE can split on skew. Use it for narrow key tables only; streaming frames are
-    returned unchanged.
+    For sides whose partner holds whole texts. Beyond the limits the frame is returned without
+    a hint, and the join runs as a shuffled join that AQE can split on skew. Narrow tables that
+    meet narrow tables need no hint: AQE decides from the sizes it sees. Give a source scan or
+    a checkpointed frame, as anything else would be computed twice; streams are returned as
+    they are.
     """
     if df.isStreaming or not is_small(df, max_rows):
         return df
     return F.broadcast(df)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_core: int = 2, max_bytes: int = SPREAD_BYTE_LIMIT) -> DataFrame:
     """Repartition a *source scan* that has fewer splits than the cluster has cores.
 
-    A large table has many more splits than cores and is returned as it is, so the text
-    is never shuffled at scale; only small inputs (one file, one row group) are spread.
-    Hash partitioning on ``keys`` keeps a retried task deterministic.
+    Only inputs of up to ``max_bytes`` (one file, one row group) are spread; beyond, whatever
+    the number of cores, texts stay where they are read. Hash partitioning on ``keys`` keeps a
+    retried task deterministic.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores * per_core:
+    if df.rdd.getNumPartitions() >= cores * per_core or estimated_bytes(df) > max_bytes:
         return df
     return df.repartition(cores * per_core, *keys)
 

@@ -47,14 +47,16 @@ def _list_level(directories: DataFrame, base: str, skip: frozenset[str]) -> Data
         from pyarrow import fs
         for batch in batches:
             for directory in batch["path"]:
-                system, inside, scheme = _filesystem(directory)
+                system, inside, _ = _filesystem(directory)
                 local = isinstance(system, fs.LocalFileSystem)
                 try:
                     found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
-                except OSError:          # a directory that may not be opened has no entries
+                except PermissionError:  # any other error fails the task, and Spark tries again
                     continue
+                # Paths are built from the root as it was given, so its host and account stay.
+                above = directory.rstrip("/")
                 rows = [
-                    (scheme + i.path, (scheme + i.path)[len(base):].lstrip("/"), i.size or 0,
+                    (f"{above}/{i.base_name}", f"{above}/{i.base_name}"[len(base):].lstrip("/"), i.size or 0,
                      i.type == fs.FileType.Directory)
                     for i in found if i.base_name not in skip
                     # Links to directories are not followed: they may lead back up.
@@ -98,7 +100,7 @@ def _read_contents(files: DataFrame) -> DataFrame:
                 try:
                     with system.open_input_stream(inside) as stream:
                         data = stream.read()
-                except OSError as exc:
+                except (PermissionError, FileNotFoundError) as exc:  # others fail the task
                     error = str(exc)
                 rows.append((path, relative, length, data, error))
                 held += len(data or b"")
@@ -116,10 +118,14 @@ def read_tree(
     root: str,
     *,
     extra_skip_dirs: Iterable[str] = (),
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = MAX_BYTES,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Documents (path, content) of the scannable files below ``root``.
+    """Documents (path, relative, content) of the scannable files below ``root``.
+
+    ``path`` is the full path or URI, ``relative`` the path below the root, as ignore lists
+    have it: ``exclude_ignored(read_tree(..), ignored, path="relative")``. ``max_bytes=None``
+    sets no size limit; ``skipped_files`` lists what is left out, with the reason.
 
     A root that is one file is read without any filter. A file that cannot be read has a
     null content; ``scan_stats`` counts it as skipped. ``partitions`` sets the number of
@@ -130,15 +136,22 @@ def read_tree(
     info = system.get_file_info(base)
     if info.type == fs.FileType.File:
         single = spark.createDataFrame([(root, root.rsplit("/", 1)[-1], info.size)], _LISTED)
-        return _read_contents(single).select("path", F.expr(decode_text("content")).alias("content"))
+        return _read_contents(single).select("path", "relative", F.expr(decode_text("content")).alias("content"))
 
     count = partitions or spark.sparkContext.defaultParallelism * 8
     # Noise names, of directories and of files, were left out while listing.
     chosen = list_files(spark, root, extra_skip_dirs=extra_skip_dirs).where(
-        f"length <= {max_bytes} AND NOT {has_skipped_extension('relative')}")
+        ("true" if max_bytes is None else f"length <= {max_bytes}") + f" AND NOT {has_skipped_extension('relative')}")
     read = _read_contents(chosen.repartition(count, "path"))
     return read.where(f"content IS NULL OR NOT {looks_binary('content')}").select(
-        "path", F.expr(decode_text("content")).alias("content"))
+        "path", "relative", F.expr(decode_text("content")).alias("content"))
+
+
+def skipped_files(files: DataFrame, *, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(path, relative, length, reason) of the listed files that ``read_tree`` leaves out unread."""
+    too_large = f"length > {max_bytes}" if max_bytes is not None else "false"
+    reason = f"CASE WHEN {has_skipped_extension('relative')} THEN 'extension' WHEN {too_large} THEN 'size' END"
+    return files.selectExpr("path", "relative", "length", f"{reason} AS reason").where("reason IS NOT NULL")
 
 
 def read_ignored_paths(spark: SparkSession, path: str) -> DataFrame:

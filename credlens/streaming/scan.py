@@ -44,6 +44,8 @@ def known_fingerprints(spark: SparkSession, findings_path: str, batch_id: int) -
     """Fingerprints written by other batches; None when there are none yet."""
     try:
         stored = spark.read.parquet(findings_path)
-    except AnalysisException:
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return stored.where(F.col("batch_id") != batch_id).select("fingerprint")

@@ -4,8 +4,9 @@ import pytest
 
 from conftest import AWS
 from credlens.operators.files import MAX_BYTES, decode_text, select_scannable
+from credlens.operators.suppress import exclude_ignored
 from credlens.plans.scan import scan_documents
-from credlens.sources.files import list_files, read_ignored_paths, read_tree
+from credlens.sources.files import list_files, read_ignored_paths, read_tree, skipped_files
 
 
 @pytest.fixture
@@ -98,3 +99,21 @@ def test_decode(spark, raw, text):
 def test_ignored_paths_file(spark, tmp_path):
     (tmp_path / "ignored").write_bytes(b"a b.txt\0dir/c\nd\0")
     assert [r.path for r in read_ignored_paths(spark, str(tmp_path / "ignored")).collect()] == ["a b.txt", "dir/c\nd"]
+
+
+def test_ignore_list_of_a_tree(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name in ("keep.txt", "deep/drop.txt", "deep/keep.txt"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "ignored").write_bytes(b"deep/drop.txt\0")
+    found = exclude_ignored(read_tree(spark, str(tmp_path)), read_ignored_paths(spark, str(tmp_path / "ignored")), path="relative")
+    assert sorted(r.relative for r in found.collect()) == ["deep/keep.txt", "keep.txt"]  # the list itself has NUL bytes
+
+
+def test_left_out_files_have_a_reason(spark, tmp_path):
+    (tmp_path / "a.png").write_text("x")
+    (tmp_path / "b.txt").write_text("x" * 50)
+    listed = list_files(spark, str(tmp_path))
+    assert {(r.relative, r.reason) for r in skipped_files(listed, max_bytes=9).collect()} == {("a.png", "extension"), ("b.txt", "size")}
+    assert [r.reason for r in skipped_files(listed, max_bytes=None).collect()] == ["extension"]
+    assert read_tree(spark, str(tmp_path), max_bytes=None).count() == 1
