@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credlens.functions import text as tx
-from credlens.operators.detect import pragma_lines, value_allowed
+from credlens.operators.detect import pragma_lines, path_allowed, value_allowed
 from credlens.rules import Allowlist, default_rule_pack
 from credlens.schema import FILESYSTEM
 
@@ -59,11 +59,14 @@ def detect_with_python(
                     rows.append((doc_path, *[None] * 8, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=_NAMES)
 
+    allowlist = default_rule_pack().allowlist if allowlist is None else allowlist
+    if allowlist.path_regex:
+        documents = documents.where(f"NOT coalesce({path_allowed(f'`{path}`', allowlist)}, false)")
     prepared = documents.where(F.col(content).isNotNull()).selectExpr(
         f"`{path}` AS path", f"{tx.normalize_newlines(f'`{content}`')} AS text",
     ).selectExpr("path", "text", f"{pragma_lines('text')} AS pragma")
     raw = prepared.mapInPandas(run, _MATCHED)
-    allowed = value_allowed("secret", default_rule_pack().allowlist if allowlist is None else allowlist)
+    allowed = value_allowed("secret", allowlist)
     findings = raw.where(f"error IS NULL AND NOT {allowed}").selectExpr(
         "rule_id", "if(description = '', rule_id, description) AS description", "severity",
         f"{tx.severity_rank('severity')} AS severity_rank", "path", "line", "`column`",

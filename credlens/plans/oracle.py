@@ -286,6 +286,17 @@ SELECT path, sha256(concat({unix('content')}, path)) AS text_sha256 FROM ({PLANT
         "detect_entropy_tokens": select_findings(planted_findings(signatures=False, entropy=True)),
         "detect_all": select_findings(planted_findings(entropy=True)),
         "detect_custom_rules": select_findings(planted_findings(pack=parse_rule_pack(CUSTOM_PACK))),
+        # Every quote in the tables is a double one; this dialect has no backreferences.
+        "detect_quoted_rules": select_findings(planted_findings(pack=parse_rule_pack({"patterns": [
+            {"id": "quoted_hex", "prefix": '(?:token|password) = "', "secret": "[0-9a-f]{24,40}", "suffix": '"', "severity": "high"},
+            {"id": "quoted_key", "prefix": 'K = "', "secret": "AKIA[0-9A-Z]{16}", "suffix": '"'}]}))),
+        "detector_errors": f"SELECT path, 'ValueError: refused' AS error FROM ({PLANTED}) WHERE suffix(path, '.md')",
+        "skip_reasons": f"""
+SELECT path, length, reason FROM (
+  SELECT path, length, CASE
+    WHEN regexp_matches(path, '[^/]\\.[^./]+$') AND lower(regexp_extract(path, '\\.[^./]+$')) IN ({skip_ext}) THEN 'extension'
+    WHEN length > {src.FILE_MAX_BYTES} THEN 'size' END AS reason
+  FROM ({table(src.file_columns('duckdb'))})) WHERE reason IS NOT NULL""",
         "detect_python_rules": select_findings(planted_findings(pack=parse_rule_pack({"patterns": [
             {"id": "blob_value", "prefix": '(?:blob |token = ")', "secret": "[A-Za-z0-9+/=]{20,}",
              "severity": "high"}]}))),

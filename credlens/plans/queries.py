@@ -18,6 +18,7 @@ from credlens.operators.history import newest_commits, parse_patches, scan_histo
 from credlens.plans import planted as src
 from credlens.plans.scan import all_findings, scan_documents, verify_documents
 from credlens.rules import Allowlist, RulePack, default_rule_pack, parse_rule_pack
+from credlens.sources.files import skipped_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +91,33 @@ def detect_custom_rules(spark: SparkSession, d: str) -> DataFrame:
     return detect(src.planted(spark, d), parse_rule_pack(CUSTOM_PACK))
 
 
+QUOTED_PACK = {
+    "patterns": [
+        {"id": "quoted_hex", "regex": r"(token|password) = ([\"'])([0-9a-f]{24,40})\2", "capture": 3,
+         "severity": "high", "keywords": ["TOKEN", "Password"]},
+        {"id": "quoted_key", "regex": r"(?:K = (?P<q>\")(AKIA[0-9A-Z]{16})(?P=q))", "capture": 2, "keywords": ["akia"]},
+    ],
+}
+
+
+def detect_quoted_rules(spark: SparkSession, d: str) -> DataFrame:
+    return detect(src.planted(spark, d), parse_rule_pack(QUOTED_PACK))
+
+
+def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    listed = src.files(spark, d).selectExpr("path", "path AS relative", "length")
+    return skipped_files(listed, max_bytes=src.FILE_MAX_BYTES).select("path", "length", "reason")
+
+
+def detector_errors(spark: SparkSession, d: str) -> DataFrame:
+    def detector(path: str, text: str):
+        if path.endswith(".md"):
+            raise ValueError("refused")
+        return ()
+
+    return detect_with_python(src.planted(spark, d), detector)[1]
+
+
 def detect_python_rules(spark: SparkSession, d: str) -> DataFrame:
     import re
     pattern = re.compile(r"(?:blob |token = \")([A-Za-z0-9+/=]{20,})")
@@ -289,7 +317,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         select_scannable_files, exclude_ignored_paths, normalize_newlines, decode_bytes,
         detect_signatures, detect_private_key_blocks, detect_entropy_tokens, detect_all,
-        detect_custom_rules, detect_python_rules, scan_pages, scan_conversations,
+        detect_custom_rules, detect_quoted_rules, detect_python_rules, detector_errors, skip_reasons, scan_pages, scan_conversations,
         token_entropy, redact_values, fingerprint_values,
         detect_without_allowlist, allowlist_paths, pragma_marked_lines, detect_ignoring_pragmas,
         detect_with_repeats, dedup_findings, baseline_suppress, baseline_merge, baseline_overwrite,
