@@ -87,6 +87,53 @@ SELECT s.doc_id, s.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coal
 FROM sized s LEFT JOIN kept USING (doc_id)
 """
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP8 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS name, coalesce(text, '') AS t FROM documents),
+kinds(rank, kind, rx) AS (VALUES (0, 'assign', '{_ASSIGN}'), (1, 'access', 'AKIA[A-Z0-9]{{12,}}'),
+                                 (2, 'hex', '[0-9a-f]{{32,}}'), (3, 'markov', '[A-Za-z0-9+/_=-]{{20,}}')),
+found AS MATERIALIZED (
+  SELECT r, 0 AS rank, regexp_extract_all(t, '{_ASSIGN}', 0) AS m, regexp_extract_all(t, '{_ASSIGN}', 2) AS v, string_split_regex(t, '{_ASSIGN}') AS g FROM docs
+  UNION ALL SELECT r, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]{{12,}}'), NULL, string_split_regex(t, 'AKIA[A-Z0-9]{{12,}}') FROM docs
+  UNION ALL SELECT r, 2, regexp_extract_all(t, '[0-9a-f]{{32,}}'), NULL, string_split_regex(t, '[0-9a-f]{{32,}}') FROM docs
+  UNION ALL SELECT r, 3, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{20,}}'), NULL, string_split_regex(t, '[A-Za-z0-9+/_=-]{{20,}}') FROM docs),
+each AS (SELECT r, rank, unnest(m) AS m, unnest(coalesce(v, m)) AS v, unnest(g[:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0),
+placed AS (SELECT r, rank, m, v, (sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i))::BIGINT AS stop FROM each),
+spans AS (SELECT r, rank, m, v, stop - length(m) AS start, stop FROM placed WHERE rank > 0 OR length(v) >= 8),
+base AS (SELECT * FROM spans WHERE rank < 3),
+chosen AS (SELECT *, r IN (SELECT r FROM base) AS labelled FROM docs
+           WHERE ('0x' || substr(md5(name), 1, 8))::BIGINT < (4000 * 4294967296) // (SELECT count(*) FROM documents)),
+tokens AS (SELECT 'random' AS label, v AS token FROM base
+           UNION ALL SELECT 'random', to_base64(from_hex(sha256(name))) FROM chosen
+           UNION ALL SELECT 'plain', w FROM (SELECT unnest(string_split_regex(t, '[^A-Za-z0-9+/_=-]+')) AS w FROM chosen WHERE NOT labelled)
+                     WHERE length(w) BETWEEN 8 AND 19),
+steps AS (SELECT label, token, unnest(range(1, length(token) + 1)) AS i FROM tokens),
+cells AS (SELECT label, CASE WHEN i > 1 THEN instr('{_ALPHABET}', token[i - 1]) ELSE 0 END AS a, instr('{_ALPHABET}', token[i]) AS b FROM steps),
+counts AS (SELECT x.a, y.b, count(*) FILTER (label = 'random') AS random, count(*) FILTER (label = 'plain') AS plain
+           FROM range(68) x(a) CROSS JOIN range(68) y(b) LEFT JOIN cells ON cells.a = x.a AND cells.b = y.b GROUP BY ALL),
+befores AS (SELECT a, sum(random) AS rr, sum(plain) AS pr FROM counts GROUP BY a),
+afters AS (SELECT b, (sum(random) + 0.5::DOUBLE) / (sum(sum(random)) OVER () + 34) AS rs,
+                  (sum(plain) + 0.5::DOUBLE) / (sum(sum(plain)) OVER () + 34) AS ps FROM counts GROUP BY b),
+weights AS (SELECT a, b, round(1000 * (ln((random + 34 * rs) / (rr + 34)) - ln((plain + 34 * ps) / (pr + 34))))::BIGINT AS w
+            FROM counts JOIN befores USING (a) JOIN afters USING (b)),
+runs AS (SELECT s.* FROM spans s WHERE rank = 3 AND len(list_distinct(string_split(m, ''))) >= 8
+         AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s.r AND b.start < s.stop AND s.start < b.stop)),
+run_steps AS (SELECT *, unnest(range(1, length(m) + 1)) AS i FROM runs),
+scored AS (SELECT r, rank, start, stop FROM run_steps JOIN weights
+           ON a = CASE WHEN i > 1 THEN instr('{_ALPHABET}', m[i - 1]) ELSE 0 END AND b = instr('{_ALPHABET}', m[i])
+           GROUP BY r, rank, start, stop HAVING sum(w) >= 1000 * (stop - start)),
+listed AS (SELECT r, rank, start, stop FROM base UNION ALL SELECT * FROM scored),
+lines AS (SELECT l.r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base_line,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS line,
+                 count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2
+          FROM listed l JOIN kinds USING (rank) GROUP BY l.r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(base_line, '')) AS base_sha256, coalesce(line, '') AS spans
+FROM docs LEFT JOIN lines USING (r)
+"""
+
 OP9 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -94,4 +141,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op9_exact_dedup": OP9}
+ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op8_markov_secrets": OP8, "op9_exact_dedup": OP9}

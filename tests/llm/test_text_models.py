@@ -2,12 +2,14 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
-from credlens.llm import langid, markov_secrets, sentencepiece_codec as sp
+from credlens.llm import langid, markov_secrets, oracle, sentencepiece_codec as sp
 
 WORDS = {"en": "the and of to with this have from they which", "de": "der und nicht schon werden eine auch ich über",
          "fr": "les des une dans pour être avec où élève", "es": "los que para como está niño donde según"}
@@ -97,6 +99,17 @@ def test_base_spans_equal_re(table, prose, odd):
     assert markov_secrets.find_secrets(table([])).count() == 0
 
 
+def test_added_spans_equal_sql(table, prose, odd):
+    rows, base64 = secret_rows(prose)
+    rows += [(600 + i, f"{prose(30)} é {base64(20 + i)} {prose(9)}-{base64(30)} token={base64(40)}") for i in range(30)] + odd[:4]
+    got = markov_secrets.find_secrets(table(rows)).collect()
+    assert sum(r.spans.count("markov") for r in got) >= 50
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    want = con.sql(oracle.ORACLE["op8_markov_secrets"]).select("doc_id, n_assign, n_access, n_hex, base_sha256, spans").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 @pytest.fixture(scope="module")
 def model_file():
     return public_tokenizers.path("piece_bpe_32k.model")
