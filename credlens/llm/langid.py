@@ -141,7 +141,7 @@ def fit(vectors: np.ndarray, labels: list[str], families: dict[str, str] = FAMIL
     names = sorted(set(labels))
     family = {n: families.get(n, n) for n in names}
     order = sorted(set(family.values()))
-    x = np.c_[vectors, np.ones(len(vectors))]
+    x = np.c_[vectors.astype(np.float32, copy=False), np.ones(len(vectors), np.float32)]
     y = np.array([order.index(family[n]) for n in labels])
     model = FamilyModel(order, _softmax(x, y, len(order), rounds) if len(order) > 1 else np.zeros((1, x.shape[1])),
                         {f: [n for n in names if family[n] == f] for f in order})
@@ -179,7 +179,8 @@ def learn(rows: DataFrame, sample: int = SAMPLE, families: dict[str, str] = FAMI
     found = sorted((r["lang"], bytes(r["vector"])) for r in chosen.select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect())
     if not found:
         return None
-    return fit(np.array([np.frombuffer(v, "<f4") for _, v in found], np.float64), [l for l, _ in found], families)
+    vectors = np.frombuffer(b"".join(v for _, v in found), "<f4").reshape(len(found), -1)
+    return fit(vectors, [l for l, _ in found], families)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: FamilyModel | None) -> Iterator[pa.RecordBatch]:
