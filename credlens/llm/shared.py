@@ -88,7 +88,8 @@ def keep_rows(tagged: DataFrame, marked: DataFrame) -> DataFrame:
     can't be told apart by their keys: where such a key is kept, one of its rows stays.
     """
     key = [F.coalesce("id", F.lit(-(2**63))).alias("id"), "digest"]
-    keys = materialize(marked.select(*key, "kept").groupBy("id", "digest").agg(
+    # Dealt by both: copies share a digest, so its rows must not stay together.
+    keys = materialize(marked.select(*key, "kept").repartition("id", "digest").groupBy("id", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept"))
     rows = tagged.select("row", *key)
     once = rows.join(keys.select("id", "digest"), ["id", "digest"], "left_anti").select("row.*")
