@@ -290,6 +290,7 @@ SELECT path, sha256(concat({unix('content')}, path)) AS text_sha256 FROM ({PLANT
         "detect_quoted_rules": select_findings(planted_findings(pack=parse_rule_pack({"patterns": [
             {"id": "quoted_hex", "prefix": '(?:token|password) = "', "secret": "[0-9a-f]{24,40}", "suffix": '"', "severity": "high"},
             {"id": "quoted_key", "prefix": 'K = "', "secret": "AKIA[0-9A-Z]{16}", "suffix": '"'}]}))),
+        "detect_every_rule": select_findings(findings_ctes(table(src.rule_columns("duckdb")))),
         "detector_errors": f"SELECT path, 'ValueError: refused' AS error FROM ({PLANTED}) WHERE suffix(path, '.md')",
         "skip_reasons": f"""
 SELECT path, length, reason FROM (

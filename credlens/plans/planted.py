@@ -72,6 +72,44 @@ end
 
 CONTENT = f"concat(text, {{NL}}, {PLANT}, {{NL}})"
 
+# A value for every rule, and a near miss, made from the id's hash; secrets are fake and split.
+# Per rule: (what stands before, value of the hit, value of the near miss, what stands after).
+_S = lambda n, start=1: f"substr({{H}}, {start}, {n})"
+RULE_VALUES = (
+    ("'AK', 'IA'", f"upper({_S(16)})", f"upper({_S(15)})", "' '"),
+    ("'aws_secret', '_access_key = '", _S(40), _S(30), "' '"),
+    ("'Account', 'Key='", f"{{H}}, {_S(22)}", "{H}", "'=='"),
+    ("'AI', 'za'", _S(35), _S(30), "' '"),
+    ("'{', {Q}, 'type', {Q}, ': ', {Q}", "'service_account'", "'user_account'", "{Q}, '}'"),
+    ("'GOC', 'SPX-'", _S(28), _S(27), "' '"),
+    ("'gh', 'p_'", _S(36), _S(37), "' '"),
+    ("'github', '_pat_'", f"{_S(22)}, '_', {_S(59)}", _S(22), "' '"),
+    ("'gh', 'o_'", _S(36), _S(30), "' '"),
+    ("'gl', 'pat-'", _S(20), _S(8), "' '"),
+    ("'sk-', 'proj-'", _S(48), _S(8), "' '"),
+    ("'sk-', 'ant-api03-'", f"{{H}}, {_S(24)}", _S(3), "' '"),
+    ("'sk', '_live_'", _S(24), _S(4), "' '"),
+    ("'xo', 'xb-'", _S(12), _S(3), "' '"),
+    ("'https://hooks.slack', '.com/services/'", f"'T', upper({_S(8)}), '/B', upper({_S(8, 9)}), '/', {_S(24)}", "'T1/B1/x'", "' '"),
+    ("'S', 'G.'", f"{_S(22)}, '.', {_S(43, 20)}", f"{_S(22)}, '.b'", "' '"),
+    ("'S', 'K'", _S(32), _S(31), "' '"),
+    ("'key', '-'", _S(32), _S(16), "' '"),
+    ("'123456789', ':AA'", _S(33), _S(20), "' '"),
+    ("'shp', 'at_'", _S(32), _S(31), "' '"),
+    ("'do', 'p_v1_'", "{H}", _S(63), "' '"),
+    ("'np', 'm_'", _S(36), _S(35), "' '"),
+    ("'py', 'pi-'", f"{{H}}, {_S(20)}", _S(20), "' '"),
+    ("'-----BEGIN '", "'RSA PRIVATE'", "'PUBLIC'", "' KEY-----'"),
+    ("'private', '_key = ', {Q}", "{H}", "'aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa'", "{Q}"),
+    ("'ey', 'J'", f"{_S(9)}, '.ey', 'J', {_S(9, 10)}, '.', {_S(20, 20)}", f"{_S(9)}, '.', {_S(10)}, '.abc'", "' '"),
+    ("'postgres', '://app'", f"':', {_S(12)}", "''", "'@db/x'"),
+    ("'pass', 'word = ', {Q}", _S(24), "'short'", "{Q}"),
+)
+RULE_PLANT = "case doc_id % 56 " + " ".join(
+    f"when {2 * i} then concat({before}, {hit}, {after}) when {2 * i + 1} then concat({before}, {miss}, {after})"
+    for i, (before, hit, miss, after) in enumerate(RULE_VALUES)) + " end"
+RULE_CONTENT = f"concat(text, {{NL}}, 'x ', {RULE_PLANT}, {{NL}})"
+
 _FILE = "concat('src/f', cast(doc_id % 50 as string), '.py')"
 
 # One commit per document: a file whose lines are the document's, a second hunk with lines
@@ -144,6 +182,10 @@ def planted_turn_columns(engine: str) -> dict[str, str]:
     return {"path": "url", "content": _dialect(CONTENT, engine)}
 
 
+def rule_columns(engine: str) -> dict[str, str]:
+    return {"doc_id": "doc_id", "path": _dialect(PATH, engine), "content": _dialect(RULE_CONTENT, engine)}
+
+
 def copy_columns(engine: str) -> dict[str, str]:
     return {"doc_id": "doc_id", "path": _FILE, "content": _dialect(COPY_CONTENT, engine)}
 
@@ -250,6 +292,10 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(*_derived(accepted_columns("spark")))
 
 
+def planted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(*_derived(rule_columns("spark")))
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of verifiers, with further, conflicting ones for every third secret."""
     documents = read_table(spark, sf_dir, "documents")

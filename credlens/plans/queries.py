@@ -104,6 +104,10 @@ def detect_quoted_rules(spark: SparkSession, d: str) -> DataFrame:
     return detect(src.planted(spark, d), parse_rule_pack(QUOTED_PACK))
 
 
+def detect_every_rule(spark: SparkSession, d: str) -> DataFrame:
+    return detect(src.planted_rules(spark, d))
+
+
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     listed = src.files(spark, d).selectExpr("path", "path AS relative", "length")
     return skipped_files(listed, max_bytes=src.FILE_MAX_BYTES).select("path", "length", "reason")
@@ -317,7 +321,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         select_scannable_files, exclude_ignored_paths, normalize_newlines, decode_bytes,
         detect_signatures, detect_private_key_blocks, detect_entropy_tokens, detect_all,
-        detect_custom_rules, detect_quoted_rules, detect_python_rules, detector_errors, skip_reasons, scan_pages, scan_conversations,
+        detect_custom_rules, detect_quoted_rules, detect_every_rule, detect_python_rules, detector_errors, skip_reasons, scan_pages, scan_conversations,
         token_entropy, redact_values, fingerprint_values,
         detect_without_allowlist, allowlist_paths, pragma_marked_lines, detect_ignoring_pragmas,
         detect_with_repeats, dedup_findings, baseline_suppress, baseline_merge, baseline_overwrite,
