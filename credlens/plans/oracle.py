@@ -393,6 +393,15 @@ WITH {planted_findings()}, {history_ctes(NON_MERGE)},
 both_kinds AS (SELECT {FINDING} FROM findings UNION ALL BY NAME SELECT {HISTORY} FROM history)
 SELECT rule_id, severity, path, line, preview, fingerprint, description, entropy, source, verifier,
        verification, commit_short AS "commit", author, date FROM both_kinds""",
+        "stored_json_report": f"""
+WITH {planted_findings()}
+SELECT rule_id, severity, path, line, preview, fingerprint, description, entropy, source, verifier, verification,
+       cast(NULL AS varchar) AS "commit", cast(NULL AS varchar) AS author, cast(NULL AS varchar) AS date FROM findings""",
+        "stored_csv_report": f"""
+WITH {planted_findings()}
+SELECT severity, rule_id, path, line, source, verification, coalesce(verifier, '') AS verifier,
+       fingerprint, description FROM findings""",
+        "stored_baseline": f"WITH {planted_findings()} {entries}",
         "findings_csv_rows": f"""
 WITH {planted_findings()}
 SELECT severity, rule_id, path, line, source, verification, coalesce(verifier, '') AS verifier,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credlens.functions import text as tx
-from credlens.functions.sizing import spread
+from credlens.functions.sizing import ensure_checkpoint_dir, spread
 from credlens.functions.text import lit
 from credlens.operators import compliance, report, suppress, verify
 from credlens.operators.custom import Match, detect_with_python
@@ -18,6 +19,8 @@ from credlens.operators.history import newest_commits, parse_patches, scan_histo
 from credlens.plans import planted as src
 from credlens.plans.scan import all_findings, scan_documents, verify_documents
 from credlens.rules import Allowlist, RulePack, default_rule_pack, parse_rule_pack
+from credlens.sinks.reports import write_findings
+from credlens.sources.baseline import load_baseline, write_baseline
 from credlens.sources.files import skipped_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,6 +308,29 @@ def findings_report_rows(spark: SparkSession, d: str) -> DataFrame:
     return report.report_rows(all_sources(spark, d))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_json_report(spark: SparkSession, d: str) -> DataFrame:
+    findings = _scan(spark, d)
+    path = write_findings(findings, _folder(spark, "report"), "json")
+    return spark.read.schema(report.report_rows(findings).schema).json(path)
+
+
+def stored_csv_report(spark: SparkSession, d: str) -> DataFrame:
+    findings = _scan(spark, d)
+    path = write_findings(findings, _folder(spark, "report"), "csv")
+    rows = spark.read.schema(report.csv_rows(findings).schema).option("header", True).csv(path)
+    return rows.fillna("", ["verifier"])
+
+
+def stored_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return load_baseline(spark, write_baseline(_scan(spark, d), _folder(spark, "baseline"), reason="triaged"))
+
+
 def findings_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return report.csv_rows(_scan(spark, d))
 
@@ -329,6 +355,6 @@ QUERIES: dict[str, Query] = {
         verification_queue, recover_secrets, apply_verification,
         by_severity, by_verification, compliance_rollup, finding_controls, controls_implicated,
         scan_summary, report_summary, history_summary, scan_stats, severity_gate, live_gate,
-        findings_report_rows, findings_csv_rows, findings_listing, findings_html_rows,
+        findings_report_rows, findings_csv_rows, stored_json_report, stored_csv_report, stored_baseline, findings_listing, findings_html_rows,
     )
 }
