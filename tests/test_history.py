@@ -21,7 +21,7 @@ def patch(path, hunks, old="/dev/null"):
 @pytest.fixture
 def commits(spark):
     def build(*rows):
-        full = [(r.get("repo", "r"), r["seq"], f"{r['seq']:040x}", "Tester", "t@x.invalid", "2024-01-01", r.get("summary", ""),
+        full = [(r.get("repo", "r"), r["seq"], f"{r['seq']:040x}", "Rowan", "t@x.invalid", "2024-01-01", r.get("summary", ""),
                  r.get("merge", False), r["patch"]) for r in rows]
         return spark.createDataFrame(full, PATCH)
     return build
@@ -50,13 +50,13 @@ def test_added_content_and_optional_cut(commits):
 
 def test_a_secret_removed_later_is_attributed_to_the_first_commit(commits):
     rows = commits(
-        {"seq": 2, "patch": patch("c.py", [(9, [f"K = '{AWS}'"])]), "summary": "again"},
-        {"seq": 1, "patch": patch("c.py", [(1, ["a", f"K = '{AWS}'"])]), "summary": "leak secret"},
-        {"seq": 3, "patch": patch("c.py", [(1, ["K = env()"])]), "summary": "remove"})
+        {"seq": 2, "patch": patch("job/run.sh", [(9, [f"K = '{AWS}'"])]), "summary": "again"},
+        {"seq": 1, "patch": patch("job/run.sh", [(1, ["a", f"K = '{AWS}'"])]), "summary": "wire up storage"},
+        {"seq": 3, "patch": patch("job/run.sh", [(1, ["K = env()"])]), "summary": "read it from the vault"})
     row = scan_history(rows).collect()
     assert len(row) == 1
     row = row[0]
-    assert (row.summary, row.line, row.source, row.author) == ("leak secret", 2, "git-history", "Tester")
+    assert (row.summary, row.line, row.source, row.author) == ("wire up storage", 2, "git-history", "Rowan")
     assert row.commit_short == row.commit[:8] and len(row.commit) == 40
 
 
@@ -70,8 +70,8 @@ def test_lines_are_those_of_the_new_file_and_pems_still_match(commits):
 
 def test_allowlist_pragma_merges_and_baseline(commits):
     rows = commits(
-        {"seq": 1, "patch": patch("doc.md", [(1, [f"Example: {AWS_SAMPLE}"])])},
-        {"seq": 2, "patch": patch("c.py", [(1, [f"K = {AWS} # pragma: allowlist secret"])])},
+        {"seq": 1, "patch": patch("guide/intro.rst", [(1, [f"use {AWS_SAMPLE} as id"])])},
+        {"seq": 2, "patch": patch("job/run.sh", [(1, [f"K = {AWS} # pragma: allowlist secret"])])},
         {"seq": 3, "patch": patch("m.py", [(1, [AWS])]), "merge": True},
         {"seq": 4, "patch": patch("ok.py", [(1, [AWS])])})
     found = scan_history(rows)
@@ -112,21 +112,23 @@ def test_a_real_log(spark, tmp_path):
     repo.mkdir()
     git(repo, "init", "-q")
     git(repo, "config", "user.email", "t@x.invalid")
-    git(repo, "config", "user.name", "Tester")
-    steps = [("config.py", f"a\nb\nKEY = '{AWS}'\n", "leak secret"), ("config.py", "a\nb\n", "remove"),
+    git(repo, "config", "user.name", "Rowan")
+    steps = [("deploy/settings.ini", f"a\nb\nKEY = '{AWS}'\n", "wire up storage"), ("deploy/settings.ini", "a\nb\n", "read it from the vault"),
              ("other.txt", f"{GITHUB}\r\nsecond\r\n", "more | odd"), ("é x.py", f"t = {AWS}\n", "space")]
     for name, content, message in steps:
+        (repo / name).parent.mkdir(exist_ok=True)
         (repo / name).write_bytes(content.encode())
         git(repo, "add", "-A")
         git(repo, "commit", "-q", "-m", message)
-    log = subprocess.run(["git", "-C", str(repo), "log", "--all", "--no-merges", "--reverse", "--no-color", "-p",
+    log = subprocess.run(["git", "-C", str(repo), "-c", "core.quotePath=false", "log", "--all", "--no-merges", "--reverse", "--no-color", "-p",
                           "--unified=0", f"--format={GIT_LOG_FORMAT}"], check=True, capture_output=True).stdout
     (tmp_path / "log.txt").write_bytes(log)
     table = read_git_log(spark, str(tmp_path / "log.txt"), "demo")
     assert [r.summary for r in table.orderBy("commit_seq").collect()] == [m for _, _, m in steps]
     assert table.schema.simpleString() == PATCH.simpleString()
     found = {(r.rule_id, r.line, r.summary) for r in scan_history(table).collect()}
-    assert found == {("aws_access_key_id", 3, "leak secret"), ("github_pat", 1, "more | odd"),
+    assert "é x.py" in {r.path for r in scan_history(table).collect()}
+    assert found == {("aws_access_key_id", 3, "wire up storage"), ("github_pat", 1, "more | odd"),
                      ("aws_access_key_id", 1, "space")}
 
 

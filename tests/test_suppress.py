@@ -65,9 +65,9 @@ def test_merge_keeps_the_old_entry_as_a_whole(spark):
 
 
 def test_ignored_paths(spark, docs):
-    rows = docs(("tracked.py", AWS), ("ignored.txt", AWS))
-    ignored = spark.createDataFrame([("ignored.txt",)], "path string")
-    assert [r.path for r in exclude_ignored(rows, ignored).collect()] == ["tracked.py"]
+    rows = docs(("src/main.go", AWS), ("build/out.log", AWS))
+    ignored = spark.createDataFrame([("build/out.log",)], "path string")
+    assert [r.path for r in exclude_ignored(rows, ignored).collect()] == ["src/main.go"]
     assert scan_documents(rows, ignored=ignored).count() == 1
     assert exclude_ignored(rows, ignored.where("false")).count() == 2
 
