@@ -10,11 +10,14 @@ Defined results: null text has size 0; a null source is a source of its own, aft
 others; a null id has the key of an empty string; documents of size 0 are taken 0 times. The
 one document at the threshold is taken if that brings the source nearer to its target. Rows
 that share the key at the threshold (repeated ids) share what is left in proportion to their
-sizes, in whole words. An empty table gives an empty mix; further columns are not read.
+sizes, in whole words; where the documents themselves are taken, such rows are told apart by a
+hash of the whole row instead, and each is taken or left whole. An empty table gives an empty
+mix; further columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,11 +33,14 @@ SHARE, EPOCHS = 1.5, 2
 KEY_BITS, ROUND_BITS = 60, 12
 #: Copies of a source's threshold when it can't be broadcast, so that a hot source is dealt out.
 SALTS = 64
+#: Copies of one row that are written in one go.
+BLOCK = 1000
 
 
-def document_key(id_col: str) -> Column:
+def document_key(id_col: str | Column) -> Column:
     """60 bits of the MD5 of the id as text."""
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
+    column = F.col(id_col) if isinstance(id_col, str) else id_col
+    name = F.coalesce(column.cast("string"), F.lit("")).cast("binary")
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -68,6 +74,23 @@ def _running(hist: DataFrame) -> DataFrame:
             .filter("before <= extra and extra < before + tokens"))
 
 
+def _edges(rows: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(place, edge, before, tokens, rows): the key in (place, extra, size, key, base) rows that passes each budget."""
+    shift = KEY_BITS
+    while True:
+        shift -= ROUND_BITS
+        bucket = F.shiftright("key", shift)
+        edges = materialize(_running(
+            rows.groupBy("place", "extra", "base", bucket.alias("bucket"))
+            .agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("rows"),
+                 F.min("key").alias("edge"), F.max("key").alias("last"))))
+        if shift == 0 or edges.filter("edge < last").isEmpty():
+            break
+        inside = edges.select(F.col("place").alias("p"), F.col("bucket").alias("b"), F.col("before").alias("base"))
+        rows = rows.drop("base").join(hint(inside), (F.col("place") == F.col("p")) & (bucket == F.col("b"))).drop("p", "b")
+    return edges.select("place", "edge", "before", "tokens", "rows")
+
+
 @dataclass
 class Mix:
     """Per-source decisions; ``apply`` adds them to documents."""
@@ -105,21 +128,9 @@ def plan_mix(sized: DataFrame) -> Mix:
 
     keys = sources.select(F.col("source").alias("s"), "place", "extra")
     rows = sized.join(hint(keys), sized["source"].eqNullSafe(F.col("s"))).select("place", "extra", "size", "key")
-    rows, shift = rows.withColumn("base", F.lit(0).cast("long")), KEY_BITS
-    while True:
-        shift -= ROUND_BITS
-        bucket = F.shiftright("key", shift)
-        edges = materialize(_running(
-            rows.groupBy("place", "extra", "base", bucket.alias("bucket"))
-            .agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("rows"),
-                 F.min("key").alias("edge"), F.max("key").alias("last"))))
-        if shift == 0 or edges.filter("edge < last").isEmpty():
-            break
-        inside = edges.select(F.col("place").alias("p"), F.col("bucket").alias("b"), F.col("before").alias("base"))
-        rows = rows.drop("base").join(hint(inside), (F.col("place") == F.col("p")) & (bucket == F.col("b"))).drop("p", "b")
-    at = edges.select("place", "edge", "before", "tokens", "rows")
+    at = _edges(rows.withColumn("base", F.lit(0).cast("long")), hint)
     thresholds = sources.join(hint(at), "place", "left").withColumnRenamed("source", "mix_source")
-    return Mix(materialize(thresholds.drop("place", "weight")), small)
+    return Mix(materialize(thresholds.drop("weight")), small)
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -135,24 +146,35 @@ def mix_sources(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
-    """The mixed documents themselves: a document taken twice is there twice.
+    """The mixed documents themselves: a document taken twice is there twice, always whole.
 
-    Where a row is taken in part (repeated ids at the threshold only), that copy's text ends
-    after the words taken.
+    Rows that share the key at the threshold (repeated ids) have a threshold of their own among
+    them, by a hash of the whole row. Rows that are equal in all columns are taken as often as
+    brings the source nearest to its target.
     """
     names = docs.columns
-    sized = sizes(docs, text_col=text_col, **columns)
-    plan = plan_mix(materialize(sized))
+    plan = plan_mix(materialize(sizes(docs, text_col=text_col, **columns)))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     c = {"id_col": "doc_id", "source_col": "source"} | columns
     tagged = docs.select(row, F.col(f"`{c['source_col']}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
                          document_key(f"`{c['id_col']}`").alias("key"))
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    whole = F.array_repeat(F.lit(0).cast("long"), copies.cast("int"))
-    words = F.explode(F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))))
-    text = F.col(f"row.`{text_col}`")
-    pattern = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*+){"), F.col("words"), F.lit("}"))
-    cut = F.when(F.col("words") == 0, text).otherwise(F.regexp_substr(text, pattern))
-    return (plan.apply(tagged).withColumn("words", words)
-            .select(*[(cut if n == text_col else F.col(f"row.`{n}`")).alias(n) for n in names]))
+    rows = plan.apply(tagged).filter("size > 0")
+    shares = F.coalesce((F.col("key") == F.col("edge")) & (F.col("rows") > 1), F.lit(False))
+    copies = F.when(shares, F.col("full")).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int")
+    mixed = rows.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+    if plan.thresholds.filter("rows > 1").isEmpty():
+        return mixed
+    hint = F.broadcast if plan.small else (lambda df: df)
+    tied = rows.filter(shares).select("row", "place", "extra", "before", "size", document_key(F.to_json("row")).alias("tie"))
+    inner = _edges(materialize(tied.select("place", "extra", F.col("before").alias("base"), "size", F.col("tie").alias("key"))), hint)
+    inner = inner.select(F.col("place").alias("p"), F.col("edge").alias("inner_edge"), F.col("before").alias("inner_before"))
+    tied = tied.join(hint(inner), F.col("place") == F.col("p"))
+    below = tied.filter("tie < inner_edge").select("row.*")
+    left = F.col("extra") - F.col("inner_before")
+    times = F.floor((2 * left + F.col("size")) / (2 * F.col("size"))).cast("long")
+    last = tied.filter("tie = inner_edge").dropDuplicates(["place", "tie"]).select("row", times.alias("times")).filter("times > 0")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / BLOCK)))
+    dealt = last.select("row", "times", block.alias("block")).repartition(F.col("block"))
+    each = F.least(F.lit(BLOCK), F.col("times") - BLOCK * F.col("block")).cast("int")
+    at = dealt.select("row", F.explode(F.array_repeat(F.lit(0), each))).select("row.*")
+    return mixed.unionByName(below).unionByName(at)

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 from fractions import Fraction
@@ -97,3 +98,25 @@ def test_documents_of_the_mix(table):
     words = sum(len(r.text.split()) for r in mixed.collect())
     assert words == sum(r.taken for r in mixing.mix_sources(df).collect())
     assert mixing.take_mix(table([])).count() == 0
+
+
+@pytest.mark.parametrize("rows_for_broadcast", [50_000, 0])
+def test_rows_that_share_the_threshold_stay_whole(table, monkeypatch, rows_for_broadcast):
+    """Null ids, one long text many times, and equal rows: none is cut, and the words meet the target."""
+    from credlens.llm import shared
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", rows_for_broadcast)
+    rows = [(None, f"n{i} " + "w " * (i % 50), "en", "nulls") for i in range(200)]
+    rows += [(7, "long " * 50_000 + str(i), "en", "long") for i in range(6)]
+    rows += [(8, "a b c d e", "en", "same")] * 3000 + [(None, "", "en", "nulls"), (8, None, "en", "same")]
+    got, sizes = mixing.take_mix(table(rows)).collect(), {}
+    times = collections.Counter((r.source, r.text) for r in got)
+    given = collections.Counter((s, t) for _, t, _, s in rows)
+    assert set(times) <= set(given) and all(n <= 2 * given[k] for k, n in times.items())
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    targets = brute_targets(sizes)
+    for source, most in (("nulls", 50), ("long", 50_001), ("same", 5)):
+        words = sum(len(t.split()) * n for (s, t), n in times.items() if s == source)
+        assert sizes[source] and abs(words - targets[source]) <= most, source
+    again = mixing.take_mix(table(rows[::-1])).collect()
+    assert times == collections.Counter((r.source, r.text) for r in again)
