@@ -141,4 +141,19 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op8_markov_secrets": OP8, "op9_exact_dedup": OP9}
+OP12 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM docs),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+frequent AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k
+             HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+marked AS (SELECT l.*, f.keeper IS NOT NULL AND (l.doc_id IS NULL OR l.doc_id <> f.keeper) AS dropped
+           FROM keyed l LEFT JOIN frequent f ON length(l.k) >= 20 AND l.k = f.k)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op8_markov_secrets": OP8, "op9_exact_dedup": OP9,
+          "op12_line_dedup": OP12}
