@@ -155,5 +155,33 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM marked GROUP BY r
 """
 
+OP11 = r"""
+WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+occ AS (SELECT lang, source, r, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS cl FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+lng AS (SELECT g.lang, count(k.term)::HUGEINT AS v, coalesce(sum(k.cl), 0)::HUGEINT AS nl
+        FROM (SELECT DISTINCT lang FROM grp) g LEFT JOIN kept k USING (lang) GROUP BY g.lang),
+cnt AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gs AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::HUGEINT AS n, l.v, l.nl
+       FROM grp g JOIN lng l USING (lang) LEFT JOIN cnt c USING (lang, source) GROUP BY g.lang, g.source, l.v, l.nl),
+full_grid AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, g.n, g.v, k.cl, g.nl
+              FROM gs g JOIN kept k USING (lang) LEFT JOIN cnt c USING (lang, source, term)),
+ps AS (SELECT lang, source, term, c, 1 + (1000000000 * (c + 1)) // (n + v) AS p,
+              1 + (1000000000 * (cl + 1)) // (nl + v) AS q FROM full_grid),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) AS value
+          FROM gs x JOIN gs y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN ps a ON a.lang = x.lang AND a.source = x.source
+          LEFT JOIN ps b ON b.lang = y.lang AND b.source = y.source AND b.term = a.term
+          GROUP BY x.lang, x.source, y.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM ps WHERE c > 0 AND p > q),
+parts AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value,
+                  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op8_markov_secrets": OP8, "op9_exact_dedup": OP9,
-          "op12_line_dedup": OP12}
+          "op11_source_divergence": OP11, "op12_line_dedup": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, langid, line_dedup, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files, warc
+from credlens.llm import cuckoo, divergence, langid, line_dedup, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files, warc
 from credlens.llm.shared import read_table
 
 
@@ -54,6 +54,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_report(read_table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_markov_secrets": op8_markov_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "op11_source_divergence": op11_source_divergence,
     "op12_line_dedup": op12_line_dedup,
 }
