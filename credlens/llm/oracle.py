@@ -183,5 +183,34 @@ ranked AS (SELECT lang, source, part, item, value::BIGINT AS value,
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+OP13 = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
+comps AS (SELECT rid, unnest(q) AS v, unnest(range(1, len(q) + 1)) AS i FROM rows),
+anchors AS (SELECT * FROM rows WHERE vec_id % 100 = 0),
+scores AS (SELECT a.rid AS arid, c.rid AS crid, sum(x.v * y.v)::BIGINT AS score
+           FROM anchors a JOIN comps x ON x.rid = a.rid JOIN comps y ON y.i = x.i
+           JOIN rows c ON c.rid = y.rid GROUP BY a.rid, c.rid),
+full_scores AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, a.label AS alabel, c.rid AS crid, c.vec_id, c.label,
+                       coalesce(s.score, 0) AS score
+                FROM anchors a CROSS JOIN rows c LEFT JOIN scores s ON s.arid = a.rid AND s.crid = c.rid),
+positives AS (SELECT * FROM (
+  SELECT arid, anchor_id, alabel, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id ASC NULLS LAST, crid) AS pidx
+  FROM full_scores WHERE label = alabel AND crid <> arid) WHERE pidx <= 5),
+negatives AS (SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.arid, p.pidx ORDER BY n.score DESC, n.vec_id ASC NULLS LAST, n.crid) AS rank
+              FROM positives p JOIN full_scores n ON n.arid = p.arid AND n.label <> p.alabel
+                AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+"""
+
 ORACLE = {"op2_repetition_rules": OP2, "op4_source_mix": OP4, "op5_suffix_dedup": OP5, "op8_markov_secrets": OP8, "op9_exact_dedup": OP9,
-          "op11_source_divergence": OP11, "op12_line_dedup": OP12}
+          "op11_source_divergence": OP11, "op12_line_dedup": OP12,
+          "op13_hard_negatives": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credlens.llm import cuckoo, divergence, langid, line_dedup, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files, warc
+from credlens.llm import cuckoo, divergence, hard_negatives, langid, line_dedup, markov_secrets, mixing, repetition, sentencepiece_codec, simhash, suffix_dedup, token_files, warc
 from credlens.llm.shared import read_table
 
 
@@ -62,6 +62,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_repetition_rules": op2_repetition_rules,
@@ -75,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_source_divergence": op11_source_divergence,
     "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
