@@ -33,10 +33,13 @@ MIN_CHARS, MIN_DOCS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The characters of SPACE, for trim.
+_SPACES = " \t\n\x0b\x0c\r"
+
+
 def line_key(line: F.Column) -> F.Column:
     """The key of a line: white space stripped at both ends, A-Z lower-cased."""
-    stripped = F.regexp_replace(line, F.lit(f"^{SPACE}+|{SPACE}+$"), F.lit(""))
-    return F.translate(stripped, _UPPER, _LOWER)
+    return F.translate(F.trim(line, F.lit(_SPACES)), _UPPER, _LOWER)
 
 
 def exploded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,9 +49,8 @@ def exploded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and an ``_h1`` of its own place, so that a shuffle by the hashes spreads short lines too
     instead of sending all of them to the partition of null.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("_doc"),
-                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    lines = rows.select("_row", "_doc", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+    lines = numbered(docs, id_col, text_col).select(
+        "_row", "_doc", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     key = line_key(F.col("_line"))
     long = F.char_length(key) >= MIN_CHARS
     return lines.select("_row", "_doc", "_pos", "_line",
@@ -56,6 +58,12 @@ def exploded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         F.when(long, F.xxhash64(F.lit(1), key)).alias("_h2"))
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_row, _doc, _text): each input row with its number, null text as empty."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("_doc"),
+                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+
+
 def frequent_keys(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_h1, _h2, _keeper): keys held by ``min_docs`` documents or more, and their largest doc_id.
 
@@ -69,17 +77,22 @@ def frequent_keys(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, text (the kept lines joined by ``\\n``)."""
+    """One row per input row: doc_id, n_lines, n_dropped, text (the kept lines joined by ``\\n``).
+
+    Only the places of lines that go travel back to their rows, as one array per row that has
+    any; each row then filters its own split text, so texts are never regrouped from lines.
+    """
     lines = exploded_lines(docs, id_col, text_col)
     frequent = broadcast_if_small(materialize(frequent_keys(lines, min_docs)))
-    marked = lines.join(frequent, ["_h1", "_h2"], "left").withColumn(
-        "_drop", F.col("_keeper").isNotNull() & ~F.col("_doc").eqNullSafe(F.col("_keeper")))
-    kept = F.collect_list(F.when(~F.col("_drop"), F.struct("_pos", "_line")))
-    grouped = marked.groupBy("_row").agg(
-        F.first("_doc").alias(id_col), F.count(F.lit(1)).alias("n_lines"),
-        F.count(F.when(F.col("_drop"), 1)).alias("n_dropped"), F.sort_array(kept).alias("_kept"))
-    return grouped.select(id_col, "n_lines", "n_dropped",
-                          F.array_join(F.transform("_kept", lambda x: x["_line"]), "\n").alias(text_col))
+    gone = lines.filter(F.col("_h2").isNotNull()).join(frequent, ["_h1", "_h2"]).filter(
+        ~F.col("_doc").eqNullSafe(F.col("_keeper")))
+    drops = broadcast_if_small(materialize(gone.groupBy("_row").agg(F.collect_list("_pos").alias("_gone"))))
+    rows = numbered(docs, id_col, text_col).join(drops, "_row", "left")
+    split = F.split("_text", "\n", -1)
+    gone_places = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    kept = F.filter(split, lambda line, i: ~F.array_contains(gone_places, i))
+    return rows.select(F.col("_doc").alias(id_col), F.size(split).cast("long").alias("n_lines"),
+                       F.size(gone_places).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias(text_col))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
