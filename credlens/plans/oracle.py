@@ -8,7 +8,7 @@ the characters, first occurrences from ``row_number``, patches from line windows
 from __future__ import annotations
 
 from credlens.operators import compliance
-from credlens.operators.files import SKIP_DIRS, SKIP_EXTENSIONS, SNIFF_BYTES
+from credlens.operators.files import MAX_BYTES, SKIP_DIRS, SKIP_EXTENSIONS, SNIFF_BYTES
 from credlens.operators.verify import REGISTERED_VERIFIERS
 from credlens.plans import planted as src
 from credlens.plans.queries import CUSTOM_PACK, NEWEST, PATH_ALLOWLIST
@@ -397,6 +397,18 @@ SELECT rule_id, severity, path, line, preview, fingerprint, description, entropy
 WITH {planted_findings()}
 SELECT rule_id, severity, path, line, preview, fingerprint, description, entropy, source, verifier, verification,
        cast(NULL AS varchar) AS "commit", cast(NULL AS varchar) AS author, cast(NULL AS varchar) AS date FROM findings""",
+        "scan_tree": f"""
+WITH named AS (
+  SELECT DISTINCT 's_' || regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_-]', '_', 'g') || '/'
+                  || coalesce((doc_id // 100)::VARCHAR, 'null') || '/' || coalesce(doc_id::VARCHAR, 'null') || '-'
+                  || left(sha256(coalesce(text, '')), 16) || '.txt' AS relative, coalesce(text, '') AS text
+  FROM documents),
+sized AS (SELECT relative, text, strlen(text)::BIGINT AS length,
+                 strpos(text, chr(0)) > 0 AND strlen(substr(text, 1, strpos(text, chr(0)) - 1)) < {SNIFF_BYTES} AS nul
+          FROM named)
+SELECT relative, length, CASE WHEN nul THEN NULL ELSE sha256(text) END AS content_sha256,
+       CASE WHEN nul THEN 'binary' END AS reason
+FROM sized WHERE length <= {MAX_BYTES}""",
         "stored_csv_report": f"""
 WITH {planted_findings()}
 SELECT severity, rule_id, path, line, source, verification, coalesce(verifier, '') AS verifier,

@@ -21,7 +21,9 @@ from credlens.plans.scan import all_findings, scan_documents, verify_documents
 from credlens.rules import Allowlist, RulePack, default_rule_pack, parse_rule_pack
 from credlens.sinks.reports import write_findings
 from credlens.sources.baseline import load_baseline, write_baseline
+from credlens.sources import tree_source
 from credlens.sources.files import skipped_files
+from credlens.sinks.tree import write_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -339,6 +341,14 @@ def findings_listing(spark: SparkSession, d: str) -> DataFrame:
     return report.listing_rows(report.worst_first(scan_history(src.patches(spark, d))))
 
 
+def scan_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as a tree of files to the shared folder, listed and read back by the tree source."""
+    folder = _folder(spark, "tree")
+    write_tree(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text"), folder)
+    read = tree_source.scan_tree(spark, folder)
+    return read.select("relative", "length", F.sha2("content", 256).alias("content_sha256"), "reason")
+
+
 def findings_html_rows(spark: SparkSession, d: str) -> DataFrame:
     return report.html_rows(_scan(spark, d)).select("html", F.col("severity_rank"))
 
@@ -356,5 +366,6 @@ QUERIES: dict[str, Query] = {
         by_severity, by_verification, compliance_rollup, finding_controls, controls_implicated,
         scan_summary, report_summary, history_summary, scan_stats, severity_gate, live_gate,
         findings_report_rows, findings_csv_rows, stored_json_report, stored_csv_report, stored_baseline, findings_listing, findings_html_rows,
+        scan_tree,
     )
 }

@@ -8,6 +8,7 @@ over the cluster between them, so one huge directory does not become one task.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credlens.functions.sizing import ensure_checkpoint_dir
+from credlens.sources import tree_source
 from credlens.operators.files import (
     MAX_BYTES,
     SKIP_DIRS,
@@ -72,20 +74,10 @@ def _list_level(directories: DataFrame, base: str, skip: frozenset[str]) -> Data
 def list_files(spark: SparkSession, root: str, *, extra_skip_dirs: Iterable[str] = ()) -> DataFrame:
     """(path, relative, length) of every file below ``root``, dotfiles included.
 
-    One job per directory level: the directories found on one level are spread over the
-    cluster to list the next. Each level is checkpointed, so no listing is repeated and the
-    lineage stays short; nothing but the question "any directories left" reaches the driver.
+    Listed by ``tree_source.list_tree``: one level at a time, each directory counted and
+    listed in pages, over an explicit number of tasks; nothing but counts reaches the driver.
     """
-    ensure_checkpoint_dir(spark)
-    base = root.rstrip("/") or "/"
-    skip = frozenset((*SKIP_DIRS, *extra_skip_dirs))
-    frontier = spark.createDataFrame([(base,)], "path string")
-    levels: list[DataFrame] = []
-    while not levels or frontier.limit(1).count():
-        level = _list_level(frontier, base, skip).checkpoint()
-        levels.append(level.where("NOT is_directory").select("path", "relative", "length"))
-        frontier = level.where("is_directory").repartition("path")
-    return reduce(DataFrame.unionByName, levels)
+    return tree_source.list_tree(spark, root, extra_skip_dirs=extra_skip_dirs)
 
 
 def _read_contents(files: DataFrame) -> DataFrame:
@@ -128,8 +120,10 @@ def read_tree(
     sets no size limit; ``skipped_files`` lists what is left out, with the reason.
 
     A root that is one file is read without any filter. A file that cannot be read has a
-    null content; ``scan_stats`` counts it as skipped. ``partitions`` sets the number of
-    read tasks (default: eight per core).
+    null content; ``scan_stats`` counts it as skipped. Files are read through the
+    ``credlens_tree`` data source, in partitions packed by bytes; ``partitions`` asks for
+    about so many (default: ``tree_source.BYTES_PER_TASK`` bytes each). Binary files are
+    sniffed by their first bytes and not read further.
     """
     from pyarrow import fs
     system, base, _ = _filesystem(root)
@@ -138,12 +132,14 @@ def read_tree(
         single = spark.createDataFrame([(root, root.rsplit("/", 1)[-1], info.size)], _LISTED)
         return _read_contents(single).select("path", "relative", F.expr(decode_text("content")).alias("content"))
 
-    count = partitions or spark.sparkContext.defaultParallelism * 8
     # Noise names, of directories and of files, were left out while listing.
     chosen = list_files(spark, root, extra_skip_dirs=extra_skip_dirs).where(
-        ("true" if max_bytes is None else f"length <= {max_bytes}") + f" AND NOT {has_skipped_extension('relative')}")
-    read = _read_contents(chosen.repartition(count, "path"))
-    return read.where(f"content IS NULL OR NOT {looks_binary('content')}").select(
+        ("true" if max_bytes is None else f"length <= {max_bytes}") + f" AND NOT {has_skipped_extension('relative')}").checkpoint()
+    per_task = tree_source.BYTES_PER_TASK
+    if partitions:
+        per_task = max(1, math.ceil((chosen.agg(F.sum("length")).first()[0] or 0) / partitions))
+    read = tree_source.read_manifest(spark, chosen, per_task)
+    return read.where("reason IS NULL OR reason LIKE 'unreadable%'").select(
         "path", "relative", F.expr(decode_text("content")).alias("content"))
 
 
