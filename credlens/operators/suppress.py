@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credlens.functions.sizing import broadcast_if_small, is_small
+from credlens.functions import bloom
+from credlens.functions.sizing import BROADCAST_ROW_LIMIT, broadcast_if_small, ensure_checkpoint_dir, is_small
 
 
 def suppress_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -14,17 +15,30 @@ def suppress_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return findings.join(accepted, "fingerprint", "left_anti").select(*findings.columns)
 
 
-def exclude_ignored(documents: DataFrame, ignored: DataFrame, *, path: str = "path") -> DataFrame:
+def exclude_ignored(documents: DataFrame, ignored: DataFrame, *, path: str = "path",
+                    max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Documents whose path is not in the ignored-path table.
 
-    A long list (say, of all repositories) is first cut down to the paths that occur in
-    ``documents``; that reads the path column only. So the texts are shuffled only when the
-    documents to leave out are themselves too many to broadcast.
+    A list within ``max_rows`` rows (and the byte bound) is broadcast. A longer one (say, of all
+    repositories) becomes a Bloom filter, built by one aggregate and probed where the documents
+    are read: documents that are surely not listed pass straight through, unmoved. Only the
+    candidates' paths meet the list, in a narrow join; the listed paths that occur are
+    broadcast if they are few, else only the candidate documents are shuffled, never the rest.
+    A null path is never ignored.
     """
     paths = ignored.select(F.col("path").alias(path))
-    if not documents.isStreaming and not is_small(paths):
-        paths = documents.select(path).join(paths, path, "left_semi").distinct()
-    return documents.join(broadcast_if_small(paths), path, "left_anti").select(*documents.columns)
+    if documents.isStreaming or is_small(paths, max_rows):
+        return documents.join(broadcast_if_small(paths, max_rows), path, "left_anti").select(*documents.columns)
+    flagged = bloom.might_contain(documents, bloom.build(paths, path), path, "_maybe_ignored")
+    candidates = flagged.where("_maybe_ignored")
+    listed = _checkpointed(candidates.select(path).join(paths, path, "left_semi").distinct())
+    kept = candidates.join(broadcast_if_small(listed, max_rows), path, "left_anti")
+    return flagged.where("NOT _maybe_ignored").select(*documents.columns).unionByName(kept.select(*documents.columns))
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def baseline_entries(findings: DataFrame, reason: str | None = None) -> DataFrame:
