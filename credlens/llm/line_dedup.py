@@ -45,16 +45,14 @@ def line_key(line: F.Column) -> F.Column:
 def exploded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, _doc, _pos, _line, _h1, _h2): every line of every row.
 
-    Long keys get their two hashes. A short line gets a null ``_h2``, which matches nothing,
-    and an ``_h1`` of its own place, so that a shuffle by the hashes spreads short lines too
-    instead of sending all of them to the partition of null.
+    Long keys get their two hashes; a short line gets nulls, which match nothing. A line of
+    fewer than ``MIN_CHARS`` code points can't have a long key, so its key is not computed.
     """
     lines = numbered(docs, id_col, text_col).select(
         "_row", "_doc", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    key = line_key(F.col("_line"))
+    key = F.when(F.char_length("_line") >= MIN_CHARS, line_key(F.col("_line")))
     long = F.char_length(key) >= MIN_CHARS
-    return lines.select("_row", "_doc", "_pos", "_line",
-                        F.when(long, F.xxhash64(key)).otherwise(F.xxhash64("_row", "_pos")).alias("_h1"),
+    return lines.select("_row", "_doc", "_pos", "_line", F.when(long, F.xxhash64(key)).alias("_h1"),
                         F.when(long, F.xxhash64(F.lit(1), key)).alias("_h2"))
 
 
@@ -82,9 +80,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only the places of lines that go travel back to their rows, as one array per row that has
     any; each row then filters its own split text, so texts are never regrouped from lines.
     """
-    lines = exploded_lines(docs, id_col, text_col)
+    # The long lines' keys, narrow, are written once: counting and dropping both read them.
+    lines = materialize(exploded_lines(docs, id_col, text_col).filter(F.col("_h2").isNotNull())
+                        .select("_row", "_doc", "_pos", "_h1", "_h2"))
     frequent = broadcast_if_small(materialize(frequent_keys(lines, min_docs)))
-    gone = lines.filter(F.col("_h2").isNotNull()).join(frequent, ["_h1", "_h2"]).filter(
+    gone = lines.join(frequent, ["_h1", "_h2"]).filter(
         ~F.col("_doc").eqNullSafe(F.col("_keeper")))
     drops = broadcast_if_small(materialize(gone.groupBy("_row").agg(F.collect_list("_pos").alias("_gone"))))
     rows = numbered(docs, id_col, text_col).join(drops, "_row", "left")
