@@ -62,15 +62,42 @@ _ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("check", "<u4")])
 _INDEX = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("first", "<i8"), ("last", "<i8")])
 
 
+#: A code point in the contexts below: after a letter, between numbers, before a space, and after an apostrophe.
+_CONTEXTS = "x{c}1{c}2 {c}'{c}s {c}{c}\n"
+_ASSIGNED = regex.compile(r"[^\p{Cn}\p{Cs}\p{Co}]")
+
+
+def disputed_code_points(path: str) -> frozenset[str]:
+    """Code points that the pattern here and the library's own split put in different pieces.
+
+    The pattern's Unicode tables may be newer than the library's, so newly assigned letters or
+    digits may differ. Unassigned, surrogate and private-use code points are neither letters
+    nor digits in either table and never become unassigned again, so only assigned ones are
+    compared: all of them, each in several contexts, in one call of each splitter.
+    """
+    splitter = Tokenizer.from_file(path).pre_tokenizer
+    if splitter is None:
+        return frozenset()
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and _ASSIGNED.match(chr(c))]
+    text = "".join(_CONTEXTS.format(c=c) for c in chars)
+    theirs = {end for _, (_, end) in splitter.pre_tokenize_str(text)}
+    ours = {m.end() for m in _SPLIT.finditer(text)}
+    width = len(_CONTEXTS.format(c="c"))
+    return frozenset(chars[(p - 1) // width] for p in theirs ^ ours)
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Byte-level tokenizers split text by a fixed pattern before anything else and then merge each
     piece by itself, so the library merges a piece once and its ids are kept. Any other
-    tokenizer, and a text that holds a special token, goes through the library as a whole.
+    tokenizer, a text that holds a special token, and a text that holds a code point that the
+    pattern and the library split differently (``disputed``, see ``disputed_code_points``) go
+    through the library as a whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, disputed: frozenset[str] = frozenset()) -> None:
+        self.disputed = disputed
         self.tokenizer = Tokenizer.from_file(path)
         splitter = self.tokenizer.pre_tokenizer
         self.by_piece = (self.tokenizer.normalizer is None and type(splitter).__name__ == "ByteLevel"
@@ -113,7 +140,7 @@ class Encoder:
         """The texts' ids, in order; texts of about CHARS characters are worked on at a time."""
         held, size = [], 0
         for text in texts:
-            whole = not self.by_piece or any(s in text for s in self.special)
+            whole = not self.by_piece or any(s in text for s in self.special) or not self.disputed.isdisjoint(text)
             if whole or len(text) > CHARS:
                 yield from self._pieces(held)
                 held, size = [], 0
@@ -128,10 +155,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, disputed: frozenset[str] = frozenset()) -> Encoder:
     """A worker keeps its encoder, and the pieces it knows, from task to task; it has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, disputed)
 
 
 def pack_frame(doc_ids: list[int | None], bodies: list[bytes]) -> bytes:
@@ -208,14 +235,15 @@ class FrameReader:
         return raw
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, frame_ids: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, frame_ids: int,
+           disputed: frozenset[str] = frozenset()) -> Iterator[pa.RecordBatch]:
     store = None
     task = TaskContext.get()
     name = f"part-{task.partitionId():06d}.ids.zst"
     doc_ids, bodies, held, total = [], [], 0, [0, 0]
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for doc_id, body in zip(ids, encoder(tokenizer).encode(texts)):
+        for doc_id, body in zip(ids, encoder(tokenizer, disputed).encode(texts)):
             if store is None:
                 store, root = fs.FileSystem.from_uri(folder)
                 draft = f"{root}/.{name}-{task.taskAttemptId()}"
@@ -252,7 +280,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     order = F.col("doc_id").asc_nulls_first(), F.col("hash")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return materialize(ranged.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, frame_ids=frame_ids), "name string, docs bigint, ids bigint"))
+    # Derived once, on the driver; the workers get the (small) set with their function.
+    disputed = disputed_code_points(tokenizer)
+    write = partial(_write, folder=folder, tokenizer=tokenizer, frame_ids=frame_ids, disputed=disputed)
+    return materialize(ranged.mapInArrow(write, "name string, docs bigint, ids bigint"))
 
 
 def _frames(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,26 @@ def test_damage_is_found():
         reader.frame(0)
     with pytest.raises(ValueError, match="seekable"):
         token_files.FrameReader(io.BytesIO(bytes(raw[:-1])), len(raw) - 1)
+
+
+def test_ids_equal_the_library_for_all_code_points():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from credlens.llm import token_files as tf
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    disputed = tf.disputed_code_points(path)
+    assert "՘" in disputed  # a letter that the pattern's newer tables know
+    encoder = tf.Encoder(path, disputed)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and tf._ASSIGNED.match(chr(c))]
+    contexts = ["x{c}'s", "{c}", " {c}", "1{c}2", "{c}{c} a", "a{c}'ll", "\n{c}\t", "'{c}'", "{c}!", "Ab{c}9 "]
+    texts = ["".join(ctx.format(c=c) for c in chars[i:i + 500]) for ctx in contexts for i in range(0, len(chars), 500)]
+    rng = random.Random(3)
+    pool = chars[::7] + list(" \n\t'sx19")
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
+    ours = list(encoder.encode(texts))
+    theirs = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert all(np.frombuffer(o, "<u4").tolist() == t for o, t in zip(ours, theirs))
