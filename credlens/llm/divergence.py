@@ -27,7 +27,9 @@ bytes ascending. Defined results: null lang, source or text are read as empty; a
 no terms still has its pair rows; a lang with one source has no pair rows; V = 0 gives pair
 values of 0 and no term rows; an empty table gives an empty result; further columns are
 never read. A source that holds a third of all rows is no one task: counts combine in each
-task, pairs are spread by term, and the top of each group is cut within each task first.
+task, pair sums are made per term and combined in each task before their shuffle, and the
+top of each group is cut within each task first. The sources of one lang travel with its
+terms, so their number should stay small (tens to thousands), as sources of a mix do.
 """
 
 from __future__ import annotations
@@ -196,18 +198,22 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     sized = materialize(groups.join(present.groupBy("lang", "source").agg(F.sum("n").alias("tot")), ["lang", "source"], "left")
                         .fillna(0, ["tot"]).join(broadcast_if_small(materialize(langs)), "lang"))
 
-    # part pair: terms present in either source are joined; the others add f(p(0), q(0)) each.
-    pairs = broadcast_if_small(materialize(
-        sized.alias("a").join(sized.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source")))
-        .select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("b.source").alias("other"),
-                F.col("a.tot").alias("tota"), F.col("b.tot").alias("totb"), F.col("a.vocab").alias("vocab"))))
-    mine = present.join(pairs, ["lang", "source"]).select("lang", "source", "other", "term", F.col("n").alias("ca"))
-    theirs = present.withColumnRenamed("source", "other").join(pairs, ["lang", "other"]).select(
-        "lang", "source", "other", "term", F.col("n").alias("cb"))
-    both = mine.join(theirs, ["lang", "source", "other", "term"], "full").fillna(0, ["ca", "cb"])
-    summed = both.join(pairs, ["lang", "source", "other"]).select(
-        "lang", "source", "other", _f(_p("ca", "tota", "vocab"), _p("cb", "totb", "vocab")).alias("f")
-    ).groupBy("lang", "source", "other").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("u"))
+    # part pair: one row per kept term with the sources where it occurs; its contribution to every
+    # pair with one of them is made in that row and summed before the shuffle (partial aggregation).
+    # Terms absent from both sources add f(p(0), q(0)) each and are counted, not listed.
+    sources = broadcast_if_small(materialize(sized.groupBy("lang").agg(
+        F.collect_list(F.struct("source", "tot")).alias("all"), F.first("vocab").alias("vocab"))))
+    occurs = present.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("nz"))
+    pairs_of = F.flatten(F.transform("all", lambda a: F.transform(
+        F.filter("all", lambda b: (a["source"] != b["source"]) & (F.col("nz")[a["source"]].isNotNull() | F.col("nz")[b["source"]].isNotNull())),
+        lambda b: F.struct(a["source"].alias("source"), b["source"].alias("other"), a["tot"].alias("tota"), b["tot"].alias("totb"),
+                           F.coalesce(F.col("nz")[a["source"]], F.lit(0)).alias("ca"), F.coalesce(F.col("nz")[b["source"]], F.lit(0)).alias("cb")))))
+    parts = occurs.join(sources, "lang").select("lang", "vocab", F.explode(pairs_of).alias("x")).select("lang", "vocab", "x.*")
+    summed = parts.groupBy("lang", "source", "other").agg(
+        F.sum(_f(_p("ca", "tota", "vocab"), _p("cb", "totb", "vocab"))).alias("f"), F.count(F.lit(1)).alias("u"))
+    pairs = sized.alias("a").join(sized.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source"))).select(
+        F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("b.source").alias("other"),
+        F.col("a.tot").alias("tota"), F.col("b.tot").alias("totb"), F.col("a.vocab").alias("vocab"))
     absent = F.when(F.col("vocab") > 0, (F.col("vocab") - F.coalesce("u", F.lit(0))) * _f(_p("0", "tota", "vocab"), _p("0", "totb", "vocab")))
     pair_rows = pairs.join(summed, ["lang", "source", "other"], "left").select(
         "lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"),
