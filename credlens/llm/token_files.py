@@ -65,6 +65,8 @@ _INDEX = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("first", "<i8"), ("last", "
 #: A code point in the contexts below: after a letter, between numbers, before a space, and after an apostrophe.
 _CONTEXTS = "x{c}1{c}2 {c}'{c}s {c}{c}\n"
 _ASSIGNED = regex.compile(r"[^\p{Cn}\p{Cs}\p{Co}]")
+#: Code points compared at a time.
+_CHUNK = 8192
 
 
 def disputed_code_points(path: str) -> frozenset[str]:
@@ -78,12 +80,16 @@ def disputed_code_points(path: str) -> frozenset[str]:
     splitter = Tokenizer.from_file(path).pre_tokenizer
     if splitter is None:
         return frozenset()
-    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and _ASSIGNED.match(chr(c))]
-    text = "".join(_CONTEXTS.format(c=c) for c in chars)
-    theirs = {end for _, (_, end) in splitter.pre_tokenize_str(text)}
-    ours = {m.end() for m in _SPLIT.finditer(text)}
     width = len(_CONTEXTS.format(c="c"))
-    return frozenset(chars[(p - 1) // width] for p in theirs ^ ours)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and _ASSIGNED.match(chr(c))]
+    disputed = set()
+    for at in range(0, len(chars), _CHUNK):  # in chunks, so that the driver's memory stays small
+        chunk = chars[at:at + _CHUNK]
+        text = "".join(_CONTEXTS.format(c=c) for c in chunk)
+        theirs = {end for _, (_, end) in splitter.pre_tokenize_str(text)}
+        ours = {m.end() for m in _SPLIT.finditer(text)}
+        disputed.update(chunk[(p - 1) // width] for p in theirs ^ ours)
+    return frozenset(disputed)
 
 
 class Encoder:
