@@ -25,6 +25,7 @@ columns are not read. A document longer than a frame is a frame of its own.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 import zlib
@@ -49,6 +50,8 @@ from credlens.llm.shared import materialize, shared_folder
 
 #: Token ids of a frame, compression level, id at the end of a document.
 FRAME_IDS, LEVEL, END_ID = 1 << 18, 3, 0
+#: Files whose seek tables one task reads, and frames (at most 4 * FRAME_IDS ids, 4 MB, each) that one task decompresses.
+FILES_PER_TASK, FRAMES_PER_TASK = 4, 16
 #: Pieces whose ids a worker keeps, and characters of text that are split at a time.
 CACHE_WORDS, CHARS = 500_000, 1 << 19
 # Magic numbers of the seekable format and of its skippable frames; the descriptor says that checksums follow.
@@ -330,7 +333,9 @@ def frame_table(spark: SparkSession, folder: str) -> DataFrame:
     store, root = fs.FileSystem.from_uri(folder)
     infos = sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.base_name)
     files = [(i.base_name, i.size, k) for k, i in enumerate(x for x in infos if x.base_name.endswith(".ids.zst") and x.base_name[0] != ".")]
-    listed = spark.createDataFrame(files, "name string, size bigint, place bigint").repartition("place")
+    # An explicit number of tasks: adaptive coalescing would merge a few small rows into one task.
+    listed = spark.createDataFrame(files, "name string, size bigint, place bigint").repartition(
+        max(1, math.ceil(len(files) / FILES_PER_TASK)), "place")
     frames = materialize(listed.mapInArrow(partial(_frames, folder=folder), (
         "name string, size bigint, place bigint, frame bigint, base bigint, ids bigint, first bigint, last bigint")))
     before, bases = 0, []
@@ -349,10 +354,11 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: tuple[int, int]
 
     With ``doc_ids`` (first, last) only frames that can hold such documents are decompressed.
     """
-    frames = frame_table(spark, folder)
+    frames = materialize(frame_table(spark, folder))
     if doc_ids is not None:
         frames = frames.filter((F.col("first") <= doc_ids[1]) & (F.col("last") >= doc_ids[0]))
-    rows = (frames.select("name", "size", "frame", "start").repartition("name", "frame").sortWithinPartitions("name", "frame")
+    tasks = max(1, math.ceil(frames.count() / FRAMES_PER_TASK))  # explicit, so never coalesced into one task
+    rows = (frames.select("name", "size", "frame", "start").repartition(tasks, "name", "frame").sortWithinPartitions("name", "frame")
             .mapInArrow(partial(_read, folder=folder, digest=digest),
                         "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary")))
     return rows if doc_ids is None else rows.filter(F.col("doc_id").between(*doc_ids))

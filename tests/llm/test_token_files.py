@@ -112,3 +112,18 @@ def test_ids_equal_the_library_for_all_code_points():
     ours = list(encoder.encode(texts))
     theirs = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
     assert all(np.frombuffer(o, "<u4").tolist() == t for o, t in zip(ours, theirs))
+
+
+def test_read_back_over_many_tasks(spark, table, prose, tmp_path):
+    import math
+
+    from credlens.llm import token_files as tf
+    from credlens.llm.shared import shared_folder
+    docs = table([(i, prose(60)) for i in range(300)]).repartition(3)
+    folder = f"{shared_folder(spark)}/tasks-{tmp_path.name}"
+    tf.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), frame_ids=64)
+    frames = tf.frame_table(spark, folder).count()
+    read = tf.read_token_files(spark, folder, digest=True)
+    assert frames > 2 * tf.FRAMES_PER_TASK
+    assert read.rdd.getNumPartitions() == math.ceil(frames / tf.FRAMES_PER_TASK)
+    assert read.select(F.spark_partition_id()).distinct().count() > 1 and read.count() == 300
