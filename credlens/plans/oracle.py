@@ -399,13 +399,15 @@ SELECT rule_id, severity, path, line, preview, fingerprint, description, entropy
        cast(NULL AS varchar) AS "commit", cast(NULL AS varchar) AS author, cast(NULL AS varchar) AS date FROM findings""",
         "scan_tree": f"""
 WITH named AS (
-  SELECT DISTINCT 's_' || regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_-]', '_', 'g') || '/'
-                  || coalesce((doc_id // 100)::VARCHAR, 'null') || '/' || coalesce(doc_id::VARCHAR, 'null') || '-'
-                  || left(sha256(coalesce(text, '')), 16) || '.txt' AS relative, coalesce(text, '') AS text
+  SELECT 's_' || regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_-]', '_', 'g') || '/'
+         || coalesce((doc_id // 100)::VARCHAR, 'null-' || left(sha256(coalesce(text, '')), 2)) || '.txt' AS relative,
+         doc_id, coalesce(text, '') AS text
   FROM documents),
+files AS (SELECT relative, string_agg(text, chr(10) || chr(30) || chr(10) ORDER BY doc_id, text) AS text
+          FROM named GROUP BY relative),
 sized AS (SELECT relative, text, strlen(text)::BIGINT AS length,
                  strpos(text, chr(0)) > 0 AND strlen(substr(text, 1, strpos(text, chr(0)) - 1)) < {SNIFF_BYTES} AS nul
-          FROM named)
+          FROM files)
 SELECT relative, length, CASE WHEN nul THEN NULL ELSE sha256(text) END AS content_sha256,
        CASE WHEN nul THEN 'binary' END AS reason
 FROM sized WHERE length <= {MAX_BYTES}""",
