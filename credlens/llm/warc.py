@@ -265,8 +265,12 @@ def iterate_warc(stream: Iterator[bytes]) -> Iterator[bytes]:
                 unzip, held = zlib.decompressobj(31), []
 
 
-def read_warc(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> DataFrame:
-    """(name, record) of all records in a folder of files whose records are gzip members."""
+def read_warc(spark: SparkSession, folder: str, chunk: int = 1 << 20, files_per_task: int = 1) -> DataFrame:
+    """(name, record) of all records in a folder of files whose records are gzip members.
+
+    Files are dealt to an explicit number of tasks, ``files_per_task`` each (as many files as the
+    writing had tasks); an explicit count is not merged into one task by adaptive coalescing.
+    """
     store, root = fs.FileSystem.from_uri(folder)
     names = [(i.base_name,) for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".warc.gz") and i.base_name[0] != "."]
 
@@ -278,4 +282,5 @@ def read_warc(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> DataFra
                     for raw in iterate_warc(iter(lambda: file.read(chunk), b"")):
                         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([raw], pa.binary())], ["name", "record"])
 
-    return spark.createDataFrame(names, "name string").repartition("name").mapInArrow(read, "name string, record binary")
+    tasks = max(1, -(-len(names) // files_per_task))
+    return spark.createDataFrame(names, "name string").repartition(tasks, "name").mapInArrow(read, "name string, record binary")

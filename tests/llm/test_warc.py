@@ -102,7 +102,10 @@ def test_files_read_back(spark, tmp_path):
     folder = f"file://{tmp_path}/out"
     assert sum(r.records for r in warc.write_warc(derived, folder).collect()) == 80
     want = {r.record_id: r for r in derived.collect()}
-    got = [warc.parse_record(bytes(r.record)) for r in warc.read_warc(spark, folder, chunk=100).collect()]
+    read = warc.read_warc(spark, folder, chunk=100)
+    files = sum(1 for p in (tmp_path / "out").iterdir() if p.name.endswith(".warc.gz"))
+    assert files > 1 and read.rdd.getNumPartitions() == files  # one task per file, not coalesced into one
+    got = [warc.parse_record(bytes(r.record)) for r in read.collect()]
     assert len(got) == 80
     for headers, _, block in got:
         row = want[headers["warc-record-id"]]
