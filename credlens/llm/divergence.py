@@ -173,10 +173,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def _p(count: str, total: str, vocab: str) -> str:
-    """SQL for 1 + floor(SCALE * (count + 1) / (total + vocab)), exact for any counts."""
-    big = "decimal(38,0)"
-    return f"(1 + (cast({SCALE} as {big}) * cast({count} + 1 as {big})) div cast({total} + {vocab} as {big}))"
+def _p(count: str, total: str, vocab: str, kind: str = "decimal(38,0)") -> str:
+    """SQL for 1 + floor(SCALE * (count + 1) / (total + vocab)) in ``kind``: exact where no product passes it."""
+    return f"(1 + (cast({SCALE} as {kind}) * cast({count} + 1 as {kind})) div cast({total} + {vocab} as {kind}))"
 
 
 def _f(p: str, q: str) -> F.Column:
@@ -198,30 +197,40 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     sized = materialize(groups.join(present.groupBy("lang", "source").agg(F.sum("n").alias("tot")), ["lang", "source"], "left")
                         .fillna(0, ["tot"]).join(broadcast_if_small(materialize(langs)), "lang"))
 
-    # part pair: one row per kept term with the sources where it occurs; its contribution to every
-    # pair with one of them is made in that row and summed before the shuffle (partial aggregation).
-    # Terms absent from both sources add f(p(0), q(0)) each and are counted, not listed.
-    sources = broadcast_if_small(materialize(sized.groupBy("lang").agg(
-        F.collect_list(F.struct("source", "tot")).alias("all"), F.first("vocab").alias("vocab"))))
+    # 64-bit arithmetic where SCALE * (count + 1) stays below 2^63 for every count (one aggregate
+    # decides), else decimals; results are exact either way.
+    largest = kept.agg(F.max("cl")).first()[0] or 0
+    kind = "bigint" if (largest + 1) * SCALE < 2**63 else "decimal(38,0)"
+
+    # part pair: one row per kept term with the sources where it occurs. In that row p is made once
+    # for each source of the lang, then f for every pair with at least one of them; these are
+    # summed before the shuffle (partial aggregation). Terms absent from both sources add
+    # f(p(0), q(0)) each and are counted, not listed.
+    places = materialize(sized.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "tot"))).alias("all"),
+                                                   F.first("vocab").alias("vocab")))
+    sources = broadcast_if_small(places)
     occurs = present.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("nz"))
-    pairs_of = F.flatten(F.transform("all", lambda a: F.transform(
-        F.filter("all", lambda b: (a["source"] != b["source"]) & (F.col("nz")[a["source"]].isNotNull() | F.col("nz")[b["source"]].isNotNull())),
-        lambda b: F.struct(a["source"].alias("source"), b["source"].alias("other"), a["tot"].alias("tota"), b["tot"].alias("totb"),
-                           F.coalesce(F.col("nz")[a["source"]], F.lit(0)).alias("ca"), F.coalesce(F.col("nz")[b["source"]], F.lit(0)).alias("cb")))))
-    parts = occurs.join(sources, "lang").select("lang", "vocab", F.explode(pairs_of).alias("x")).select("lang", "vocab", "x.*")
-    summed = parts.groupBy("lang", "source", "other").agg(
-        F.sum(_f(_p("ca", "tota", "vocab"), _p("cb", "totb", "vocab"))).alias("f"), F.count(F.lit(1)).alias("u"))
-    pairs = sized.alias("a").join(sized.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source"))).select(
-        F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("b.source").alias("other"),
-        F.col("a.tot").alias("tota"), F.col("b.tot").alias("totb"), F.col("a.vocab").alias("vocab"))
-    absent = F.when(F.col("vocab") > 0, (F.col("vocab") - F.coalesce("u", F.lit(0))) * _f(_p("0", "tota", "vocab"), _p("0", "totb", "vocab")))
-    pair_rows = pairs.join(summed, ["lang", "source", "other"], "left").select(
+    per_source = occurs.join(sources, "lang").select(
+        "lang", F.size("all").alias("k"),
+        F.expr(f"transform(all, a -> {_p('coalesce(nz[a.source], 0)', 'a.tot', 'vocab', kind)})").alias("ps"),
+        F.expr("transform(all, a -> nz[a.source] IS NOT NULL)").alias("has"))
+    pair_f = ("flatten(transform(sequence(0, k - 1), i -> transform(filter(sequence(0, k - 1), j -> i != j AND (has[i] OR has[j])), "
+              "j -> named_struct('i', i, 'j', j, 'f', (ps[i] - ps[j]) * (ps[i] - ps[j]) div ps[j]))))")
+    summed = per_source.select("lang", F.explode(F.expr(pair_f)).alias("x")).groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(
+        F.sum("x.f").alias("f"), F.count(F.lit(1)).alias("u"))
+    placed = places.select("lang", "vocab", F.posexplode("all").alias("at", "s")).select("lang", "vocab", "at", "s.source", "s.tot")
+    pairs = placed.alias("a").join(placed.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.at") != F.col("b.at"))).select(
+        F.col("a.lang").alias("lang"), F.col("a.at").alias("i"), F.col("b.at").alias("j"), F.col("a.source").alias("source"),
+        F.col("b.source").alias("other"), F.col("a.tot").alias("tota"), F.col("b.tot").alias("totb"), F.col("a.vocab").alias("vocab"))
+    absent = F.when(F.col("vocab") > 0, (F.col("vocab") - F.coalesce("u", F.lit(0))) *
+                    _f(_p("0", "tota", "vocab", kind), _p("0", "totb", "vocab", kind)))
+    pair_rows = pairs.join(summed, ["lang", "i", "j"], "left").select(
         "lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"),
         (F.coalesce("f", F.lit(0)) + F.coalesce(absent, F.lit(0))).cast("long").alias("value"))
 
     # part term: each present term whose p is above the lang's.
     scored = present.join(kept, ["lang", "term"]).join(sized, ["lang", "source"]).select(
-        "lang", "source", "term", F.expr(_p("n", "tot", "vocab")).alias("p"), F.expr(_p("cl", "ltot", "vocab")).alias("q"))
+        "lang", "source", "term", F.expr(_p("n", "tot", "vocab", kind)).alias("p"), F.expr(_p("cl", "ltot", "vocab", kind)).alias("q"))
     term_rows = scored.filter(F.col("p") > F.col("q")).select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f("p", "q").cast("long").alias("value"))
 
