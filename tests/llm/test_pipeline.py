@@ -23,7 +23,7 @@ def duck():
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(oracle.ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
