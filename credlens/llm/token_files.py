@@ -114,6 +114,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: Pieces seen so far that hold a disputed code point; a text with one goes to the library whole.
+        self.bad: set[str] = set()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,6 +127,8 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older, merge = self.known, self.older, self.tokenizer.model.tokenize
         new = list(seen.difference(known))
+        if self.disputed:
+            self.bad.update(p for p in new if not self.disputed.isdisjoint(p))
         shown = b"\xff".join([p.encode() for p in new]).decode("latin-1")  # a byte that UTF-8 does not use
         for byte, visible in _VISIBLE.items():
             shown = shown.replace(chr(byte), visible)
@@ -133,9 +137,13 @@ class Encoder:
             known[piece] = array("I", [t.id for t in merge(written)]).tobytes() if ids is None else ids
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Every character is in one piece, so a text holds a disputed code point only in a piece;
+        each new piece is tested once, and a text's pieces only once some piece was bad."""
         pieces = [_SPLIT.findall(t) for t in texts]
         self._learn(set(chain.from_iterable(pieces)))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        bad = self.bad
+        return [self._library([t])[0] if bad and not bad.isdisjoint(p) else b"".join(map(self.known.__getitem__, p))
+                for t, p in zip(texts, pieces)]
 
     def _long(self, text: str) -> bytes:
         """A text whose pieces are found and encoded in steps, as a list of all would be large."""
@@ -149,7 +157,8 @@ class Encoder:
         """The texts' ids, in order; texts of about CHARS characters are worked on at a time."""
         held, size = [], 0
         for text in texts:
-            whole = not self.by_piece or any(s in text for s in self.special) or not self.disputed.isdisjoint(text)
+            whole = not self.by_piece or any(s in text for s in self.special)
+            whole = whole or (len(text) > CHARS and not self.disputed.isdisjoint(text))
             if whole or len(text) > CHARS:
                 yield from self._pieces(held)
                 held, size = [], 0
