@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credlens.functions.sizing import checkpointed
+
 BITS_PER_KEY, HASHES, ROW_BITS, MAX_BITS = 10, 4, 4096, 2**29
 
 
@@ -46,13 +48,7 @@ def build(keys: DataFrame, key: str, n_keys: int | None = None, hashes: int = HA
     rows = words.groupBy("_r").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m")).select(
         "_r", F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda j: F.coalesce(F.col("m")[j], F.lit(0).cast("long"))).alias("_words"))
     # Written to the shared folder: every probe reads it, none builds it again.
-    return Bloom(_checkpointed(rows), bits, hashes)
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    from credlens.functions.sizing import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return Bloom(checkpointed(rows), bits, hashes)
 
 
 def might_contain(df: DataFrame, bloom: Bloom, key: str, flag: str = "_maybe") -> DataFrame:

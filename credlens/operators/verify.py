@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credlens.functions import bloom
+from credlens.functions.sizing import checkpointed
 from credlens.functions.text import lit
 from credlens.operators.detect import detect
 from credlens.rules import RulePack, default_rule_pack
@@ -41,13 +42,16 @@ def recover_secrets(
     that suppresses, but only over documents that can hold a wanted finding: a Bloom filter of
     the wanted findings' paths, built by one aggregate, is probed where the documents are
     read, and the others are not scanned (``candidates_of``). The narrow result meets the
-    findings by fingerprint and line: neither texts nor values are shuffled. A new scan gets
-    the hash directly with ``detect(..., secret_hash=True)`` and needs no second read.
+    findings by fingerprint and line: neither texts nor values are shuffled. The wanted findings
+    are checkpointed, as the filter's size, the filter and the join each read them: ``findings``
+    that are still a scan are computed once. A new scan gets the hash directly with
+    ``detect(..., secret_hash=True)`` and needs no second read.
     """
     pack = pack or default_rule_pack()
     names = set(registered)
     rules = [r.rule_id for r in pack.rules if r.verifier in names]
-    wanted = findings.where(is_verifiable(registered)).select("fingerprint", "line", "path").distinct()
+    wanted = checkpointed(
+        findings.where(is_verifiable(registered)).select("fingerprint", "line", "path").distinct())
     again = detect(candidates_of(documents, wanted, path), pack.only(*rules).without_allowlist(), path=path,
                    content=content, pragmas=False, dedup=False, secret_hash=True)
     hashes = again.where("secret_sha256 IS NOT NULL").select("fingerprint", "line", "secret_sha256").distinct()

@@ -174,3 +174,24 @@ def test_a_live_answer_decides(spark):
     outcomes = spark.createDataFrame(answers, "secret_sha256 string, http_status int")
     rows = verify.apply_verification(found.withColumns({"key": F.col("secret_sha256"), "verification": F.lit("")}), outcomes).collect()
     assert {r.key: r.verification for r in rows} == {"a": "valid", "b": "valid", "c": "invalid", "d": "unverified"}
+
+
+@pytest.fixture
+def counted(spark):
+    """A table whose rows are counted each time that they are computed, and the counter."""
+    def build(rows):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        return rows.mapInArrow(count, rows.schema), seen
+    return build
+
+
+def test_recover_secrets_computes_the_findings_once(docs, counted):
+    rows = docs(*[(f"{i}.py", f"x\n{GITHUB[:-1]}{i}") for i in range(8)])
+    texts, seen = counted(rows)
+    assert verify.recover_secrets(detect(texts), rows).count() == 8
+    assert seen.value == 8
