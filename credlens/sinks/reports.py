@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from credlens.functions.sizing import computed_once
 from credlens.operators.compliance import compliance_rollup
 from credlens.operators.report import (
     by_severity,
@@ -26,19 +27,29 @@ FORMATS = ("parquet", "json", "csv", "html")
 
 
 def write_findings(findings: DataFrame, path: str, fmt: str) -> str:
-    """Write findings as a directory of part files in the given format."""
+    """Write findings as a directory of part files in the given format.
+
+    The sorted formats read the findings twice (for the bounds of the sort's ranges, then for
+    the sort), so they are kept on disk meanwhile, and a scan behind them runs once.
+    """
+    if fmt not in FORMATS:
+        raise ValueError(f"unsupported report format: {fmt!r} (use one of {', '.join(FORMATS)})")
     if fmt == "parquet":
         findings.write.mode("overwrite").parquet(path)
-    elif fmt == "json":
+        return path
+    with computed_once(findings) as kept:
+        _write_sorted(kept, path, fmt)
+    return path
+
+
+def _write_sorted(findings: DataFrame, path: str, fmt: str) -> None:
+    if fmt == "json":
         report_rows(worst_first(findings)).write.mode("overwrite").json(path)
     elif fmt == "csv":
         csv_rows(worst_first(findings)).write.mode("overwrite").option("header", True).csv(path)
     elif fmt == "html":
         (html_rows(findings).orderBy(F.desc("severity_rank"), "location", "rule_id")
          .select("html").write.mode("overwrite").text(path))
-    else:
-        raise ValueError(f"unsupported report format: {fmt!r} (use one of {', '.join(FORMATS)})")
-    return path
 
 
 def write_report(
@@ -59,7 +70,7 @@ def write_report(
     findings.write.mode("overwrite").parquet(f"{path}/findings")
     stored = findings.sparkSession.read.parquet(f"{path}/findings")
     if fmt != "parquet":
-        write_findings(stored, f"{path}/{fmt}", fmt)
+        _write_sorted(stored, f"{path}/{fmt}", fmt)
     seen = observation.get if observation is not None else {}
     counters = {k: seen[k] for k in ("files_scanned", "commits_scanned") if k in seen}
     small = {

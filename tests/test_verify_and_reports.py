@@ -195,3 +195,14 @@ def test_recover_secrets_computes_the_findings_once(docs, counted):
     texts, seen = counted(rows)
     assert verify.recover_secrets(detect(texts), rows).count() == 8
     assert seen.value == 8
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv", "html"])
+def test_sorted_reports_compute_the_findings_once(spark, docs, counted, tmp_path, fmt):
+    texts, seen = counted(docs(*[(f"{i}.py", f"{GITHUB}\n{AWS}") for i in range(8)]).repartition(4))
+    found = detect(texts)
+    write_findings(found, str(tmp_path / fmt), fmt)
+    assert seen.value == 8
+    lines = spark.read.text(str(tmp_path / fmt)).where("value NOT LIKE 'severity,%'")
+    assert lines.count() == 16
+    assert not found.storageLevel.useDisk
