@@ -3,7 +3,8 @@
 Counting is done where the texts are read. Each Arrow batch of (lang, source, text) is one
 byte array: A-Z are lower-cased in place, terms are the runs of letter bytes (ASCII letters
 and every byte of a non-ASCII character, which is what the term pattern of the contract
-means on UTF-8), never across documents. Terms are then bucketed by length: one of up to 8
+means on UTF-8), never across documents; a long batch is taken in slices of ``SLICE_BYTES``, so
+that memory follows no batch size. Terms are then bucketed by length: one of up to 8
 bytes becomes one uint64 word, one of 9 to 16 bytes two words (big-endian and zero-padded,
 so the order of words is the order of bytes; a term holds no zero byte), and these are
 radix-sorted with (group, term, document) in 16-bit digits and counted by runs. Longer terms
@@ -27,14 +28,17 @@ bytes ascending. Defined results: null lang, source or text are read as empty; a
 no terms still has its pair rows; a lang with one source has no pair rows; V = 0 gives pair
 values of 0 and no term rows; an empty table gives an empty result; further columns are
 never read. A source that holds a third of all rows is no one task: counts combine in each
-task, pair sums are made per term and combined in each task before their shuffle, and the
-top of each group is cut within each task first. The sources of one lang travel with its
-terms, so their number should stay small (tens to thousands), as sources of a mix do.
+task, pair sums are made in each task (in numpy, 64-bit or Python integers) before their
+shuffle, and the top of each group is cut within each task first. A kept term is one row with
+its counts in its sources, written once and read by the totals and both parts. The sources of
+one lang travel with its terms, so their number should stay small (tens to thousands), as
+sources of a mix do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +54,13 @@ MIN_DOCS, SCALE, TOP = 3, 10**9, 200
 #: Terms up to this many bytes are packed into uint64 words; longer ones are sorted as bytes.
 PACKED_BYTES = 16
 
+#: Bytes of text whose terms are counted at a time; a worker takes about 200 MB for their arrays.
+SLICE_BYTES = 8 << 20
+#: Cells (terms by sources) whose p are worked on at a time.
+CELLS = 1 << 20
+
 COUNT_SCHEMA = "lang string, source string, term string, n long, docs long"
+PAIR_SCHEMA = "lang string, i int, j int, f long, u long"
 
 
 def radix_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -106,11 +116,19 @@ def term_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    """(terms, width // 8) uint64 words of the terms' bytes, big-endian, zero-padded."""
-    places = np.arange(width)
-    grid = data[starts[:, None] + places]
-    grid[places[None, :] >= lengths[:, None]] = 0
-    return np.ascontiguousarray(grid).view(">u8").astype(np.uint64)
+    """(terms, width // 8) uint64 words of the terms' bytes, big-endian, zero-padded.
+
+    A word is read at its place in the bytes (``data`` ends with ``PACKED_BYTES`` zeros) and what
+    follows the term is shifted out, so no table of single bytes is made.
+    """
+    at = np.ndarray(len(data) - 7, ">u8", data, 0, (1,))  # the word that begins at each byte
+    out = np.empty((len(starts), width // 8), np.uint64)
+    for i in range(width // 8):
+        spare = (8 * np.clip(8 * (i + 1) - lengths, 0, 8)).astype(np.uint64)  # bits behind the term
+        word = at[starts + 8 * i].astype(np.uint64)
+        low = np.minimum(spare, np.uint64(63))
+        out[:, i] = np.where(spare == 64, np.uint64(0), word >> low << low)
+    return out
 
 
 def count_terms(groups: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
@@ -150,8 +168,16 @@ def count_terms(groups: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, list[b
     return np.concatenate(out_g), out_t, np.concatenate(out_n), np.concatenate(out_d)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``size`` bytes of text; Spark adds up their counts in the same task."""
     for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(2)), 0), np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches, SLICE_BYTES):
         langs, sources = (batch.column(i).dictionary_encode() for i in (0, 1))
         codes = np.asarray(langs.indices, np.int64) * len(sources.dictionary) + np.asarray(sources.indices, np.int64)
         unique, groups = np.unique(codes, return_inverse=True)
@@ -183,43 +209,88 @@ def _f(p: str, q: str) -> F.Column:
     return F.expr(f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})")
 
 
+def pair_sums(at: list[np.ndarray], n: list[np.ndarray], tots: np.ndarray, vocab: int,
+              exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of f, terms) of each pair of sources, over the terms that occur in one of the two.
+
+    ``at`` and ``n`` give the sources of each term and its counts there, ``tots`` all sources'
+    totals. Each source is taken with the terms that occur in it, so the work follows the
+    counts. ``exact`` says that 64 bits hold every product; else Python's integers do the work.
+    """
+    k, kind = len(tots), np.uint64 if exact else object
+    f, u = np.zeros((k, k), kind), np.zeros((k, k), np.int64)
+    scale, size = np.array(SCALE, kind), tots.astype(kind) + np.array(vocab, kind)
+    step = max(1, CELLS // k)
+    for low in range(0, len(at), step):
+        rows = np.repeat(np.arange(len(at[low:low + step])), [len(a) for a in at[low:low + step]])
+        columns, counts = np.concatenate(at[low:low + step]), np.concatenate(n[low:low + step])
+        count, has = np.zeros((rows[-1] + 1, k), kind), np.zeros((rows[-1] + 1, k), bool)
+        count[rows, columns] = counts.astype(kind)
+        has[rows, columns] = True
+        p = scale * (count + np.array(1, kind)) // size + np.array(1, kind)
+        for j in range(k):
+            here = has[:, j]
+            ps, q, other = p[here], p[here, j][:, None], ~has[here]
+            square = (np.maximum(ps, q) - np.minimum(ps, q)) ** np.array(2, kind)
+            f[:, j] += (square // q).sum(axis=0)
+            f[j] += np.where(other, square // ps, np.array(0, kind)).sum(axis=0)
+            u[:, j] += len(ps)
+            u[j] += other.sum(axis=0)
+    return f, u
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """Over rows (lang, vocab, tots, at, n) of terms: the task's sums (lang, i, j, f, u)."""
+    sums = {}
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        codes = np.asarray(langs.indices)
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            part = batch.take(np.flatnonzero(codes == code))
+            at, n = (np.split(np.asarray(c.flatten()), np.cumsum(pc.list_value_length(c))[:-1]) for c in part.columns[3:])
+            f, u = pair_sums(at, n, np.asarray(part.column(2)[0].values), part.column(1)[0].as_py(), exact)
+            before = sums.get(lang, (0, 0))
+            sums[lang] = f + before[0], u + before[1]
+    for lang, (f, u) in sums.items():
+        i, j = np.nonzero(u)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+             pa.array([int(x) for x in f[i, j]], pa.int64()), pa.array(u[i, j], pa.int64())], ["lang", "i", "j", "f", "u"])
+
+
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank for all (lang, source) groups of ``docs`` (lang, source, text)."""
-    counts = materialize(term_counts(docs))
     groups = materialize(docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c)
                                        for c in ("lang", "source")]).distinct())
-    kept = materialize(counts.groupBy("lang", "term").agg(F.sum("docs").alias("df"), F.sum("n").alias("cl"))
-                       .filter(F.col("df") >= min_docs).drop("df"))
-    langs = groups.select("lang").distinct().join(
-        kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"), F.sum("cl").alias("ltot")), "lang", "left"
-    ).fillna(0, ["vocab", "ltot"])
-    present = counts.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
-    sized = materialize(groups.join(present.groupBy("lang", "source").agg(F.sum("n").alias("tot")), ["lang", "source"], "left")
-                        .fillna(0, ["tot"]).join(broadcast_if_small(materialize(langs)), "lang"))
+    numbered = materialize(groups.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("all")).select(
+        "lang", F.posexplode("all").alias("at", "source")))
+
+    # One row per kept term: its count in the lang, and its count in each source where it occurs.
+    placed = F.collect_list(F.struct("at", "n")).alias("places")
+    kept = materialize(term_counts(docs).join(broadcast_if_small(numbered), ["lang", "source"]).groupBy("lang", "term").agg(
+        F.sum("docs").alias("df"), F.sum("n").alias("cl"), placed).filter(F.col("df") >= min_docs).select(
+        "lang", "term", "cl", F.col("places.at").alias("at"), F.col("places.n").alias("n")))
+    totals = kept.select("lang", F.inline(F.arrays_zip("at", "n"))).groupBy("lang", "at").agg(F.sum("n").alias("tot"))
+    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"), F.sum("cl").alias("ltot"), F.max("cl").alias("largest"))
+    sized = materialize(numbered.join(totals, ["lang", "at"], "left").join(langs, "lang", "left").fillna(
+        0, ["tot", "vocab", "ltot", "largest"]))
 
     # 64-bit arithmetic where SCALE * (count + 1) stays below 2^63 for every count (one aggregate
     # decides), else decimals; results are exact either way.
-    largest = kept.agg(F.max("cl")).first()[0] or 0
-    kind = "bigint" if (largest + 1) * SCALE < 2**63 else "decimal(38,0)"
-
-    # part pair: one row per kept term with the sources where it occurs. In that row p is made once
-    # for each source of the lang, then f for every pair with at least one of them; these are
-    # summed before the shuffle (partial aggregation). Terms absent from both sources add
-    # f(p(0), q(0)) each and are counted, not listed.
-    places = materialize(sized.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "tot"))).alias("all"),
-                                                   F.first("vocab").alias("vocab")))
-    sources = broadcast_if_small(places)
-    occurs = present.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("nz"))
-    per_source = occurs.join(sources, "lang").select(
-        "lang", F.size("all").alias("k"),
-        F.expr(f"transform(all, a -> {_p('coalesce(nz[a.source], 0)', 'a.tot', 'vocab', kind)})").alias("ps"),
-        F.expr("transform(all, a -> nz[a.source] IS NOT NULL)").alias("has"))
-    pair_f = ("flatten(transform(sequence(0, k - 1), i -> transform(filter(sequence(0, k - 1), j -> i != j AND (has[i] OR has[j])), "
-              "j -> named_struct('i', i, 'j', j, 'f', (ps[i] - ps[j]) * (ps[i] - ps[j]) div ps[j]))))")
-    summed = per_source.select("lang", F.explode(F.expr(pair_f)).alias("x")).groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(
-        F.sum("x.f").alias("f"), F.count(F.lit(1)).alias("u"))
-    placed = places.select("lang", "vocab", F.posexplode("all").alias("at", "s")).select("lang", "vocab", "at", "s.source", "s.tot")
-    pairs = placed.alias("a").join(placed.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.at") != F.col("b.at"))).select(
+    largest = sized.agg(F.max("largest")).first()[0] or 0
+    exact = (largest + 1) * SCALE < 2**63
+    kind = "bigint" if exact else "decimal(38,0)"
+
+    # part pair: from each kept term, f for every pair of sources with at least one where it occurs,
+    # summed in each task before the shuffle. Terms absent from both sources add f(p(0), q(0))
+    # each and are counted, not listed.
+    sources = materialize(sized.groupBy("lang").agg(
+        F.first("vocab").alias("vocab"), F.sort_array(F.collect_list(F.struct("at", "tot"))).alias("all")).select(
+        "lang", "vocab", F.col("all.tot").alias("tots")))
+    summed = kept.select("lang", "at", "n").join(broadcast_if_small(sources), "lang").select(
+        "lang", "vocab", "tots", "at", "n").mapInArrow(partial(_pair_sums, exact=exact), PAIR_SCHEMA).groupBy("lang", "i", "j").agg(
+        F.sum("f").alias("f"), F.sum("u").alias("u"))
+    pairs = sized.alias("a").join(sized.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.at") != F.col("b.at"))).select(
         F.col("a.lang").alias("lang"), F.col("a.at").alias("i"), F.col("b.at").alias("j"), F.col("a.source").alias("source"),
         F.col("b.source").alias("other"), F.col("a.tot").alias("tota"), F.col("b.tot").alias("totb"), F.col("a.vocab").alias("vocab"))
     absent = F.when(F.col("vocab") > 0, (F.col("vocab") - F.coalesce("u", F.lit(0))) *
@@ -229,7 +300,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
         (F.coalesce("f", F.lit(0)) + F.coalesce(absent, F.lit(0))).cast("long").alias("value"))
 
     # part term: each present term whose p is above the lang's.
-    scored = present.join(kept, ["lang", "term"]).join(sized, ["lang", "source"]).select(
+    scored = kept.select("lang", "term", "cl", F.inline(F.arrays_zip("at", "n"))).join(broadcast_if_small(sized), ["lang", "at"]).select(
         "lang", "source", "term", F.expr(_p("n", "tot", "vocab", kind)).alias("p"), F.expr(_p("cl", "ltot", "vocab", kind)).alias("q"))
     term_rows = scored.filter(F.col("p") > F.col("q")).select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f("p", "q").cast("long").alias("value"))

@@ -88,3 +88,29 @@ def test_top_ranks_only_and_empty(table):
     assert max(r.rank for r in terms) == 200 and sum(r.source == "s0" for r in terms) == 200
     assert sorted(tuple(r) for r in got) == brute([(lang, s, t) for _, t, lang, s in rows])
     assert divergence.divergence_report(table([])).count() == 0
+
+
+def test_pair_sums_are_exact_in_both_arithmetics():
+    rng = np.random.default_rng(7)
+    k, terms = 5, 60
+    dense = rng.integers(0, 4, (terms, k)) * rng.integers(0, 10**6, (terms, k))
+    dense[np.arange(terms), rng.integers(0, k, terms)] += 1
+    tots, vocab = dense.sum(axis=0), terms + 9
+    p = [[1 + 10**9 * (int(c) + 1) // (int(t) + vocab) for c, t in zip(row, tots)] for row in dense]
+    at = [np.flatnonzero(row) for row in dense]
+    for exact in (True, False):
+        f, u = divergence.pair_sums(at, [row[a] for row, a in zip(dense, at)], tots, vocab, exact)
+        for i in range(k):
+            for j in range(k):
+                seen = [t for t in range(terms) if dense[t, i] or dense[t, j]]
+                if i != j:
+                    assert u[i, j] == len(seen)
+                    assert int(f[i, j]) == sum((p[t][i] - p[t][j]) ** 2 // p[t][j] for t in seen)
+
+
+def test_slices_hold_every_row_once_and_bounded_bytes():
+    texts = ["a" * (7 * i % 50) for i in range(200)] + [None, "", "b" * 500, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["l"] * len(texts)), pa.array(["s"] * len(texts)), pa.array(texts)], ["lang", "source", "text"])
+    slices = list(divergence._slices([batch, batch.slice(0, 0), batch.slice(3, 5)], 100))
+    assert [t for s in slices for t in s.column(2).to_pylist()] == texts + texts[3:8]
+    assert len(slices) > 40 and all(sum(len(t or "") for t in s.column(2).to_pylist()[1:]) <= 100 for s in slices)
