@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -58,6 +59,28 @@ CACHE_WORDS, CHARS = 500_000, 1 << 19
 _INDEX_MAGIC, _SEEK_MAGIC, _END_MAGIC, _DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 # Fixed value: the pattern by which a byte-level tokenizer splits text before its merges.
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+def _ranges(pattern: str) -> str:
+    """The characters up to U+FFFF that ``pattern`` matches, as the ranges of a character class."""
+    parts = ("".join(map(chr, codes)) for codes in (range(0xD800), range(0xE000, 0x10000)))
+    runs = (m.group() for part in parts for m in regex.finditer(f"{pattern}+", part))
+    return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in runs)
+
+
+def _basic_split() -> re.Pattern:
+    """The same pattern for texts without characters beyond U+FFFF, its classes spelled out: about twice as fast."""
+    letters, numbers, spaces = (_ranges(c) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+"
+                      f"|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+_BASIC_SPLIT, _BEYOND = _basic_split(), re.compile("[^\0-\uffff]")
+
+
+def splitter(text: str) -> re.Pattern | regex.Pattern:
+    """The pattern to split ``text`` by."""
+    return _SPLIT if _BEYOND.search(text) else _BASIC_SPLIT
+
+
 # Fixed value: byte-level vocabularies write printable bytes as they are, the others as code points from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = dict(zip(sorted(set(range(256)).difference(_PLAIN)), map(chr, range(256, 512))))
@@ -80,8 +103,8 @@ def disputed_code_points(path: str) -> frozenset[str]:
     nor digits in either table and never become unassigned again, so only assigned ones are
     compared: all of them, each in several contexts, in one call of each splitter.
     """
-    splitter = Tokenizer.from_file(path).pre_tokenizer
-    if splitter is None:
+    library = Tokenizer.from_file(path).pre_tokenizer
+    if library is None:
         return frozenset()
     width = len(_CONTEXTS.format(c="c"))
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and _ASSIGNED.match(chr(c))]
@@ -89,7 +112,7 @@ def disputed_code_points(path: str) -> frozenset[str]:
     for at in range(0, len(chars), _CHUNK):  # in chunks, so that the driver's memory stays small
         chunk = chars[at:at + _CHUNK]
         text = "".join(_CONTEXTS.format(c=c) for c in chunk)
-        theirs = {end for _, (_, end) in splitter.pre_tokenize_str(text)}
+        theirs = {end for _, (_, end) in library.pre_tokenize_str(text)}
         ours = {m.end() for m in _SPLIT.finditer(text)}
         disputed.update(chunk[(p - 1) // width] for p in theirs ^ ours)
     return frozenset(disputed)
@@ -108,9 +131,9 @@ class Encoder:
     def __init__(self, path: str, disputed: frozenset[str] = frozenset()) -> None:
         self.disputed = disputed
         self.tokenizer = Tokenizer.from_file(path)
-        splitter = self.tokenizer.pre_tokenizer
-        self.by_piece = (self.tokenizer.normalizer is None and type(splitter).__name__ == "ByteLevel"
-                         and not splitter.add_prefix_space and splitter.use_regex)
+        library = self.tokenizer.pre_tokenizer
+        self.by_piece = (self.tokenizer.normalizer is None and type(library).__name__ == "ByteLevel"
+                         and not library.add_prefix_space and library.use_regex)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -139,7 +162,7 @@ class Encoder:
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Every character is in one piece, so a text holds a disputed code point only in a piece;
         each new piece is tested once, and a text's pieces only once some piece was bad."""
-        pieces = [_SPLIT.findall(t) for t in texts]
+        pieces = [splitter(t).findall(t) for t in texts]
         self._learn(set(chain.from_iterable(pieces)))
         bad = self.bad
         return [self._library([t])[0] if bad and not bad.isdisjoint(p) else b"".join(map(self.known.__getitem__, p))
@@ -147,7 +170,7 @@ class Encoder:
 
     def _long(self, text: str) -> bytes:
         """A text whose pieces are found and encoded in steps, as a list of all would be large."""
-        out, found = [], (m.group() for m in _SPLIT.finditer(text))
+        out, found = [], (m.group() for m in splitter(text).finditer(text))
         while pieces := list(islice(found, CHARS // 8)):
             self._learn(set(pieces))
             out.append(b"".join(map(self.known.__getitem__, pieces)))

@@ -127,3 +127,14 @@ def test_read_back_over_many_tasks(spark, table, prose, tmp_path):
     assert frames > 2 * tf.FRAMES_PER_TASK
     assert read.rdd.getNumPartitions() == math.ceil(frames / tf.FRAMES_PER_TASK)
     assert read.select(F.spark_partition_id()).distinct().count() > 1 and read.count() == 300
+
+
+def test_the_basic_pattern_splits_as_the_whole_one():
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    text = "".join(f"x{c}1{c}2 {c}'{c}s {c}{c}\n{c}  {c}'re'll\t" for c in chars)
+    assert token_files.splitter(text) is token_files._BASIC_SPLIT
+    assert token_files._BASIC_SPLIT.findall(text) == token_files._SPLIT.findall(text)
+    rng = random.Random(9)
+    mixed = "".join(rng.choice(chars) if rng.random() < 0.3 else rng.choice(" ab1'stmdrevl.\n\t") for _ in range(200_000))
+    assert token_files._BASIC_SPLIT.findall(mixed) == token_files._SPLIT.findall(mixed)
+    assert token_files.splitter("a 🎉") is token_files._SPLIT
